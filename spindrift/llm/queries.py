@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, decontaminate, language_id, secret_scan, token_files
+from spindrift.llm import bpe, decontaminate, language_id, near_dedup, secret_scan, span_dedup, token_files
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,10 +26,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(documents(spark, sf_dir))
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.digests(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(documents(spark, sf_dir), vocabulary())
 
@@ -44,7 +52,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_span_dedup": op2_span_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op10_language_id": op10_language_id,
