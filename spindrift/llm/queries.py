@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, decontaminate, language_id, near_dedup, secret_scan, span_dedup, token_files
+from spindrift.llm import bpe, chat_format, decontaminate, fingerprints, language_id, language_model, near_dedup, secret_scan, span_dedup, token_files
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +34,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.digests(documents(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(documents(spark, sf_dir))
 
@@ -46,6 +50,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(documents(spark, sf_dir))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(turns.unionByName(more))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digests(documents(spark, sf_dir))
 
@@ -54,9 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_span_dedup": op2_span_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language_model": op4_language_model,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
