@@ -12,6 +12,7 @@ Extra columns aren't written.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,12 @@ def encoder(path: str) -> Encoder:
         library.no_truncation()
         library.no_padding()
 
+        # The library's threads would each keep memory of their own; and its results are large until their ids are taken.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
         def encode(pieces: list[bytes]) -> list[np.ndarray]:
-            return [np.array(x.ids, np.int32) for x in library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+            parts = (pieces[i : i + 1024] for i in range(0, len(pieces), 1024))
+            return [np.array(x.ids, np.int32) for part in parts for x in library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
 
         _kept[path] = Encoder(encode, library.token_to_id(SPECIAL))
     return _kept[path]
