@@ -33,12 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, *, partitions: tuple[str, ...] = (), **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; a lost executor costs no lineage before it."""
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder; a lost executor costs no lineage before it, and the shuffles before it are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
-    writer = df.write.options(**options)
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,11 +9,13 @@ all their bytes: a text is parsed to overlapping phrases.
 Dictionary: equal phrases meet under their trigger, in corpus order; every later
 occurrence repeats the first as a whole, which settles nearly all of a repetitive
 corpus at one row a phrase. Only phrases that share a trigger with a different
-phrase can share some windows without sharing all. For the first occurrences of
-those, the suffixes (cut at SPAN bytes) are put in order, equal suffixes in the
-order of the parse: the suffix order of dictionary and parse, sorted by Spark over
-all partitions rather than in one array, as only runs of equal suffixes matter.
-Both steps read sorted rows as a stream and keep one row in memory.
+phrase can share some windows without sharing all. The first occurrences of those
+meet under their trigger, some triggers at a time: a suffix array of this part of
+the dictionary, cut at SPAN bytes, gives runs of equal suffixes, and the order of
+the parse (document, place) tells the first of each run. No array of the whole
+corpus is needed, as equal suffixes have equal triggers. A trigger with over
+``CROWD`` phrases isn't gathered: its suffixes are put in the same order by Spark's
+sort, dealt out by the suffix, and read as a stream.
 
 Null texts are empty. Texts under SPAN bytes lose nothing. A null doc_id comes
 before all others. Equal rows don't repeat each other; rows with equal doc_id and
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import chunks_for, flat, mix, powers, prefix_hash, slices, span_hash, stored, BASE_INV
+from spindrift.llm.common import BASE_INV, chunks_for, flat, mix, powers, prefix_hash, slices, span_hash, spread, stored
 
 SPAN, GRAM = 100, 36
 GRAMS = SPAN - GRAM + 1
@@ -39,6 +41,7 @@ GRAMS = SPAN - GRAM + 1
 SEGMENT = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
 FIRST_ID = -(1 << 63)
+CROWD = 1 << 14
 
 
 def parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -85,7 +88,8 @@ def phrases(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, PHRASES)
 
 
-FOUND = "doc long, windows long, repeated boolean"
+#: trigger is null for a phrase that repeats an earlier one.
+FOUND = "doc long, windows long, trigger long"
 
 
 def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,33 +116,113 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unsure[0] = False
         keep = first[-1]
         tail, told = tuple(c[keep : keep + 1] for c in columns), bool(many[-1])
-        for rows, kind in ((repeated, True), (unsure, False)):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(windows[rows]), pa.array(np.full(int(rows.sum()), kind))], names=["doc", "windows", "repeated"])
+        rows = repeated | unsure
+        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(windows[rows]), pa.array(trigger[rows], mask=repeated[rows])], names=["doc", "windows", "trigger"])
 
 
-def suffixes(df: DataFrame) -> DataFrame:
-    """suffix, doc, at: the windows of the phrases (list ``windows``) of df (doc, text, windows)."""
+PIECES = "trigger long, crowd boolean, doc long, at long, bytes binary"
+
+
+def pieces(df: DataFrame) -> DataFrame:
+    """PIECES, the bytes of phrases, for df (doc, text, found: list of (trigger, crowd, windows))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=1 << 18):
+        for part in slices(batches):
             data, offsets = flat(part.column(1))
             lists = part.column(2)
-            packed = lists.flatten().to_numpy()
-            count = lists.value_lengths().to_numpy()
-            doc = np.repeat(np.arange(part.num_rows), count)
-            a, b = packed >> 32, packed & 0xFFFFFFFF
-            ok = b + SPAN <= np.diff(offsets)[doc]
-            doc, a, b = doc[ok], a[ok], b[ok]
-            size = b - a + 1
+            trigger, crowd, packed = lists.flatten().flatten()
+            doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            a, b = packed.to_numpy() >> 32, (packed.to_numpy() & 0xFFFFFFFF) + SPAN
+            ok = b <= np.diff(offsets)[doc]
+            start, length = (a + offsets[doc])[ok], (b - a)[ok]
+            cut = data[spread(start, length)]
+            keep = pa.array(ok)
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32)), pa.py_buffer(cut)])
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            for some in np.array_split(np.arange(len(a)), max(1, int(size.sum()) >> 15)):
-                at = np.repeat(a[some], size[some]) + np.arange(int(size[some].sum())) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-                of = np.repeat(doc[some], size[some])
-                rows = np.lib.stride_tricks.sliding_window_view(data, SPAN)[at + offsets[of]] if len(at) else np.zeros((0, SPAN), np.uint8)
-                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SPAN), len(at), [None, pa.py_buffer(np.ascontiguousarray(rows))])
-                yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(ids[of], pa.int64()), pa.array(at)], names=["suffix", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([trigger.filter(keep), crowd.filter(keep), pa.array(ids[doc[ok]], pa.int64()), pa.array(a[ok]), column], names=["trigger", "crowd", "doc", "at", "bytes"])
+
+    return df.mapInArrow(run, PIECES)
+
+
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """The rank of each suffix by its first SPAN bytes, by doubling; equal beginnings have equal ranks. Behind the end stand zeros."""
+    padded = np.append(data, np.zeros(SPAN, np.uint8)).astype(np.uint64)
+    key = np.zeros(len(data) + SPAN - 8, np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | padded[k : k + len(key)]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    have = 8
+    while have < SPAN:
+        step = min(have, SPAN - have)
+        n = len(rank) - step
+        rank = np.unique(rank[:n] * (len(rank) + 1) + rank[step : step + n], return_inverse=True)[1].astype(np.int64)
+        have += step
+    return rank[: len(data)]
+
+
+def shared_suffixes(doc: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, windows) of the windows of pieces that equal an earlier one among them."""
+    size = np.maximum(np.diff(offsets) - SPAN + 1, 0)
+    place = spread(offsets[:-1], size)
+    of = np.repeat(np.arange(len(doc)), size)
+    where = at[of] + place - offsets[of]
+    rank = suffix_ranks(data)[place]
+    order = np.lexsort((where, doc[of], rank))
+    r = rank[order]
+    new = np.append(True, r[1:] != r[:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    mark = np.zeros(len(place), bool)
+    mark[order] = ~new & ((doc[of][order] != doc[of][first]) | (where[order] != where[first]))
+    begin = mark & ~np.append(False, mark[:-1] & (of[1:] == of[:-1]))
+    end = mark & ~np.append(mark[1:] & (of[1:] == of[:-1]), False)
+    return doc[of[begin]], where[begin] << 32 | where[end]
+
+
+REPEATED = "doc long, windows long"
+
+
+def by_suffix_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From PIECES in order of their triggers, whole triggers of about 1 MB at a time: REPEATED rows."""
+    held: list[pa.RecordBatch] = []
+    bytes_held = 0
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        data, offsets = flat(table.column("bytes").combine_chunks().view(pa.string()))
+        found = shared_suffixes(table.column("doc").to_numpy(), table.column("at").to_numpy(), data, offsets)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "windows"])
 
-    return df.mapInArrow(run, "suffix binary, doc long, at long")
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            held.append(part)
+            bytes_held += part.nbytes
+            if bytes_held < 1 << 20:
+                continue
+            table = pa.Table.from_batches(held)
+            trigger = table.column("trigger").to_numpy()
+            k = int(np.searchsorted(trigger, trigger[-1]))
+            if k:
+                yield told(table.slice(0, k))
+            held = table.slice(k).to_batches()
+            bytes_held = sum(x.nbytes for x in held)
+    if held:
+        yield told(pa.Table.from_batches(held))
+
+
+def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """suffix, doc, at: the windows of PIECES, one row each."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            data, offsets = flat(part.column(4).view(pa.string()))
+            size = np.maximum(np.diff(offsets) - SPAN + 1, 0)
+            place, of = spread(offsets[:-1], size), np.repeat(np.arange(part.num_rows), size)
+            if not len(place):
+                continue
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SPAN)[place])
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((np.arange(len(place) + 1) * SPAN).astype(np.int32)), pa.py_buffer(rows)])
+            yield pa.RecordBatch.from_arrays([column, pa.array(part.column(2).to_numpy()[of]), pa.array(part.column(3).to_numpy()[of] + place - offsets[of])], names=["suffix", "doc", "at"])
 
 
 def equal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +250,14 @@ def repeated_windows(df: DataFrame) -> DataFrame:
     n = chunks_for(df, 4 << 20)
     ordered = phrases(df).repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "doc", "windows")
     found = stored(ordered.mapInArrow(later, FOUND), "phrases")
-    unsure = found.filter("not repeated").groupBy("doc").agg(F.collect_set("windows").alias("windows"))
-    texts = df.join(unsure, "doc").select("doc", "text", "windows")
-    in_order = suffixes(texts).repartition(n, F.xxhash64("suffix")).sortWithinPartitions("suffix", "doc", "at")
-    return found.filter("repeated").select("doc", "windows").union(in_order.mapInArrow(equal_suffixes, "doc long, windows long"))
+    unsure = found.filter("trigger is not null")
+    crowds = unsure.groupBy("trigger").agg((F.count(F.lit(1)) > CROWD).alias("crowd"))
+    lists = unsure.join(crowds, "trigger").groupBy("doc").agg(F.collect_set(F.struct("trigger", "crowd", "windows")).alias("found"))
+    kept = stored(pieces(df.join(lists, "doc").select("doc", "text", "found")), "pieces")
+    few = kept.filter("not crowd").repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(by_suffix_array, REPEATED)
+    many = kept.filter("crowd").mapInArrow(suffixes, "suffix binary, doc long, at long").repartition(n, F.xxhash64("suffix")).sortWithinPartitions("suffix", "doc", "at")
+    found = found.filter("trigger is null").select("doc", "windows")
+    return found.union(few).union(many.mapInArrow(equal_suffixes, REPEATED))
 
 
 def covered(data: np.ndarray, offsets: np.ndarray, lists: pa.ListArray) -> np.ndarray:
