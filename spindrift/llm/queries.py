@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, chat_format, decontaminate, fingerprints, language_id, language_model, near_dedup, secret_scan, span_dedup, token_files
+from spindrift.llm import bpe, chat_format, decontaminate, fingerprints, language_id, language_model, near_dedup, oracles, secret_scan, span_dedup, token_files
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
