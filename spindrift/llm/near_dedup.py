@@ -9,12 +9,15 @@ one order of pairs by frequency for all), so the long lists under common pairs a
 skipped, and a pair that only one node has is not looked at.
 
 Lists are resolved without pairing all their members. Each is compared with a
-pivot. Distances (1 - similarity) are a metric, so members within LINK of the
-pivot are in one component; a member farther than that from the pivot can only
-link to one whose distance to it differs by LINK at most; other pairs in different
-components are compared, or the rest of the list gets new pivots, until no list is
-left. Every link is confirmed on whole sets. Two sets of similarity 0.75 agree in
-fewer than MATCHES coordinates in about one of a million cases.
+pivot, its least id. Distances (1 - similarity) are a metric, so members within LINK
+of the pivot are in one component, and one that is farther than twice LINK from the
+pivot links to none of those. What is left is compared in blocks of at most
+``BLOCK`` by ``BLOCK`` members: members that the pivot isn't linked to among
+themselves, and those within twice LINK of the pivot with those that it is linked
+to. In a block, coincidences of the signatures are counted first, and pairs with
+MATCHES or more in different components are compared on whole sets; a block returns
+one link for two components at most. Two sets of similarity 0.75 agree in fewer than
+MATCHES coordinates in about one of a million cases.
 
 Texts without words (null, empty) have no set and link with nothing; fewer than
 SHINGLE words are one shingle. A null doc_id links with nothing, its component is
@@ -29,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import flat, mix, prefix_hash, slices, span_hash, stored
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
-PIVOTS = 16
+FAR = 1 - LINK_OF_100 / 100
+BLOCK = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _SPACE = np.zeros(256, bool)
@@ -166,10 +170,46 @@ def postings(nodes: DataFrame) -> DataFrame:
     return shared.filter(left > 0).select("id", "n", F.explode(F.slice("keys", F.lit(1), left)).alias("k")).select("k.key", "id", "n", "k.pivot")
 
 
-def connected(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """id, component (the least id reachable) for each id in edges (a, b); before: components known already, used as further edges."""
-    if before is not None:
-        edges = edges.unionByName(before.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b"))
+def block_links(table: pa.Table) -> pa.Table:
+    """a, b: links between different components in a block of members (side, id, component, sig, set); side 2: compared with all, 0 with 1."""
+    side, ids, comp = (table.column(k).to_numpy() for k in ("side", "id", "component"))
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    sets = [unpacked(x.as_buffer()) for x in table.column("set").combine_chunks()]
+    sizes = np.array([len(x) for x in sets])
+    places = np.append(0, np.cumsum(sizes))
+    flat_sets = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(flat_sets.max()) + 1, bool)
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in top:
+            c = top[c]
+        return c
+
+    out = []
+    for i in range(len(ids)):
+        j = np.arange(i + 1, len(ids))
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2)) & (4 * np.minimum(sizes[j], sizes[i]) >= 3 * np.maximum(sizes[j], sizes[i]))]
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= MATCHES]
+        if not len(j):
+            continue
+        own = flat_sets[places[i] : places[i + 1]]
+        mark[own] = True
+        for k in j.tolist():
+            x, y = root(int(comp[i])), root(int(comp[k]))
+            if x == y:
+                continue
+            both = int(mark[flat_sets[places[k] : places[k + 1]]].sum())
+            if 100 * both >= LINK_OF_100 * (sizes[i] + sizes[k] - both):
+                top[max(x, y)] = min(x, y)
+                out.append((int(ids[i]), int(ids[k])))
+        mark[own] = False
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """id, component (the least id reachable) for each id in edges (a, b)."""
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
@@ -190,52 +230,46 @@ def links(documents: DataFrame, nodes: DataFrame) -> DataFrame | None:
         return None
     ids = lists.select("id").union(lists.select("pivot")).distinct()
     sets = stored(whole_sets(documents.join(ids, "id", "left_semi").select("id", "text")), "sets")
-    sizes = nodes.select("id", "n")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """a, b, d, linked for distinct pairs (a, b); d is in hundredths of the union, exact in linked."""
-        sb = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        sa = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-        got = common(pairs.join(sb, "b").join(sa, "a"))
-        return stored(got.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"), (100 * F.col("both").cast("long") >= LINK_OF_100 * F.col("either").cast("long")).alias("linked")), "compared")
-
-    far = 1 - LINK_OF_100 / 100
-    edges, known = None, None
-    first = True
-    while True:
-        if first:
-            asked = lists.filter("id <> pivot")
-        else:
-            order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            heads = lists.withColumn("k", order).filter(F.col("k") <= PIVOTS).select("key", F.col("id").alias("pivot"))
-            asked = lists.join(heads, "key").filter("pivot <> id")
-        # Sets of which one has not half the other's size are farther than 0.5 from each other; their distance isn't needed.
-        pivot_sizes = sizes.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
-        asked = stored(asked.join(pivot_sizes, "pivot").select("key", "id", "n", "pivot", (2 * F.least("n", "pivot_n") >= F.greatest("n", "pivot_n")).alias("near")), "asked")
-        found = compared(asked.filter("near").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
-        fresh = found.filter("linked").select("a", "b")
-        known = connected(fresh, known)
-        told = asked.join(found, (F.least("pivot", "id") == found["a"]) & (F.greatest("pivot", "id") == found["b"]), "left")
-        told = told.select("key", "id", "n", "pivot", F.coalesce("d", F.lit(1.0)).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        of = known.select("id", "component")
-        told = stored(told.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")), "told")
-        # Members that are linked to a pivot, against those that may link to them although they are not linked to it.
-        settled = told.filter("linked").select("key", "pivot", F.col("id").alias("x"), F.col("d").alias("dx"), F.col("component").alias("cx"))
-        fringe = told.filter(~F.col("linked") & (F.col("d") <= 2 * far)).select("key", "pivot", F.col("id").alias("y"), F.col("d").alias("dy"), F.col("component").alias("cy"))
-        cross = settled.join(fringe, ["key", "pivot"]).filter((F.col("cx") != F.col("cy")) & (F.col("dy") - F.col("dx") <= far + 1e-9))
-        cross = stored(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross")
-        if not cross.isEmpty():
-            known = connected(compared(cross).filter("linked").select("a", "b"), known)
-        # What is neither a pivot nor linked to one stays; a list ends when one component is left in it.
-        rest = told.groupBy("key", "id", "n").agg(F.max("linked").alias("done")).filter("not done").select("key", "id", "n")
-        if not first:
-            rest = rest.join(heads.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-        rest = rest.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        lists = stored(rest.join(open_keys, "key").select("key", "id", "n"), "lists")
-        first = False
-        if lists.isEmpty():
-            return known
+    # Sets of which one has not half the other's size are farther than twice LINK from each other; their distance isn't needed.
+    pivot_sizes = nodes.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
+    asked = lists.filter("id <> pivot").select("id", "n", "pivot").distinct().join(pivot_sizes, "pivot")
+    asked = asked.filter(2 * F.least("n", "pivot_n") >= F.greatest("n", "pivot_n"))
+    sa = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+    sb = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    got = common(asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(sb, "b").join(sa, "a"))
+    linked = 100 * F.col("both").cast("long") >= LINK_OF_100 * F.col("either").cast("long")
+    found = stored(got.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked")), "compared")
+    known = connected(found.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    component = F.coalesce("component", "id").alias("component")
+    told = lists.filter("id <> pivot").join(found, ["pivot", "id"], "left").join(known, "id", "left")
+    told = stored(told.select("key", "pivot", "id", component, F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("d", F.lit(1.0)).alias("d")), "told")
+    block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    # Members that their list's pivot isn't linked to, list by list; lists of the same members are one.
+    rest = told.filter("not linked")
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    sizes = sizes.filter("n > 1 and low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    among = rest.join(sizes.select("key", block("n").alias("blocks")), "key")
+    among = among.withColumn("own", part("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    among = among.select(F.col("key").alias("g"), i.alias("i"), j.alias("j"), F.when(i == j, 2).when(F.col("own") == i, 0).otherwise(1).alias("side"), "id", "component")
+
+    # Members that a pivot is linked to, against those near it that are in another component, pivot by pivot.
+    pairs = told.select("pivot", "id", "component", "linked", "d").distinct()
+    home = known.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
+    pairs = pairs.join(home, "pivot").filter(F.col("linked") | ((F.col("d") <= 2 * FAR + 1e-9) & (F.col("component") != F.col("home"))))
+    both = pairs.groupBy("pivot").agg(F.sum(F.col("linked").cast("int")).alias("n"), F.sum((~F.col("linked")).cast("int")).alias("m")).filter("n > 0 and m > 0")
+    across = pairs.join(both.select("pivot", block("n").alias("n"), block("m").alias("m")), "pivot")
+    across = across.withColumn("i", F.explode(F.when(F.col("linked"), F.array(part("n"))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
+    across = across.withColumn("j", F.explode(F.when(F.col("linked"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(part("m")))))
+    across = across.select((-1 - F.col("pivot")).alias("g"), "i", "j", F.when(F.col("linked"), 0).otherwise(1).alias("side"), "id", "component")
+
+    members = among.withColumn("kind", F.lit(0)).unionByName(across.withColumn("kind", F.lit(1)))
+    members = members.join(nodes.select("id", "sig"), "id").join(sets, "id")
+    more = members.groupBy("kind", "g", "i", "j").applyInArrow(block_links, "a long, b long")
+    edges = found.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    return connected(edges.unionByName(more))
 
 
 def components(documents: DataFrame) -> DataFrame:
