@@ -7,7 +7,7 @@ are trained by stochastic gradient descent in numpy on at most about ``rows``
 labelled documents (a documented bound; drawn evenly by language by a hash of the
 id). A fifth of them is held back: it sets the temperature of the softmax and the
 score under which a prediction is rejected (the least scores of ``lost`` of the
-documents that were predicted rightly).
+documents that were predicted rightly, one half at most).
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text if there are no labels. Very long texts count whole. Repeated rows get
@@ -117,7 +117,8 @@ def train(found: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epo
         model.temperature = min(np.geomspace(0.25, 16, 49), key=lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).sum()).item()
         p = softmax(z / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-        model.least = float(right[int(lost * len(right))]) if len(right) else 0.0
+        # A score of a half or more is never rejected: few held-back documents don't tell so small a share.
+        model.least = min(0.5, float(right[int(lost * len(right))])) if len(right) else 0.0
     return model
 
 
