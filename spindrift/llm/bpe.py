@@ -165,22 +165,25 @@ _kept: dict[str, tuple[Merges, Encoder]] = {}
 def encoder(path: str) -> tuple[Merges, Encoder]:
     """One for each worker process and file."""
     if path not in _kept:
-        _kept[path] = ((m := Merges(path)), Encoder(m, m.special))
+        _kept[path] = ((m := Merges(path)), Encoder(m, m.special, bits=21))
     return _kept[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """df with a list of int ids in column ``to``; a column of that name is replaced."""
-    df = df.drop(to)
-    schema = df.withColumn(to, F.lit(None).cast("array<int>")).schema
+def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", exact: str = "") -> DataFrame:
+    """df with a list of int ids in column ``to`` and, if named, whether they decode to the text in column ``exact``; columns of those names are replaced."""
+    df = df.drop(to, exact)
+    schema = df.select("*", F.lit(None).cast("array<int>").alias(to), *([F.lit(True).alias(exact)] if exact else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, of = encoder(path)
-        for part in slices(batches, text):
-            ids, counts = of([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
-            offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-            column = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, to])
+        merges, of = encoder(path)
+        for part in slices(batches, text, 1 << 20):
+            texts = [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+            ids, counts = of(texts)
+            ends = np.append(0, np.cumsum(counts))
+            columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+            if exact:
+                columns.append(pa.array([merges.decode(ids[a:b].tolist()) == x for x, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

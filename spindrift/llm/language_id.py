@@ -157,7 +157,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for part in slices(batches, text):
+        for part in slices(batches, text, 1 << 19):
             column = part.column(part.schema.get_field_index(text))
             letters = np.array([model is not None and x is not None and (_ASCII_LETTER.search(x) is not None or any(map(str.isalpha, x))) for x in column.to_pylist()], bool)
             best, names = np.zeros(len(letters)), np.array([UNKNOWN] * len(letters), object)

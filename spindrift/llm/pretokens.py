@@ -83,7 +83,7 @@ class Encoder:
 
     def empty(self) -> None:
         self.table, self.pool, self.used = Table(self.bits), np.zeros(1 << 16, np.int32), 0
-        self.at, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def learn(self, pieces: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """Encodes new pieces; their numbers."""
