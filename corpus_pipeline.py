@@ -41,9 +41,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), vocabulary()), vocabulary())
-    exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), exact.alias("exact"), "ids")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), vocabulary(), exact="exact")
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "exact", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
