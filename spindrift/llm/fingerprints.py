@@ -4,13 +4,14 @@ The lexicon holds the terms (hashed words) that between ``RARE`` and ``COMMON``
 all documents have: a band of inverse document frequency. As each of its terms is
 in RARE of the documents, it has at most (mean terms of a document) / RARE terms;
 a bitmap of 2**20 bits by the terms' hashes stands for it, so its size is fixed
-(a term whose bit is set by another term counts as in the lexicon). A text's
-distinct terms of the lexicon are sorted, and those in each of ``SUBSETS``
-randomised subsets of the lexicon are hashed: the fingerprint is the list of these
-hashes. A text without such terms has the hashes of its whole instead.
+(a term whose bit is set by another term counts as in the lexicon). The lexicon is
+dealt at random into ``SUBSETS`` subsets, each term into one of them, so that they
+cover it together. A text's distinct terms of the lexicon are sorted, and those of
+each subset are hashed: the fingerprint is the list of these hashes. A text without
+any such terms, so with all subsets empty, has the hashes of its whole instead.
 
 Likeness of two fingerprints: the share of equal ones among the subsets that are
-not empty in both.
+not empty in both; 1 for equal fingerprints.
 
 Null texts are empty. Documents of equal doc_id are ordered by the hash of their
 text; null ids come last in descending order. A lone document is its own next.
@@ -26,7 +27,9 @@ from spindrift.llm.common import chunks_for
 from spindrift.llm.decontaminate import BITMAP, bitmap, words
 
 RARE, COMMON = 0.0005, 0.1
-SUBSETS, OF = 16, 64
+#: A term's subset is told by its first 2 * HALF bits; those of the bitmap are its last.
+HALF = 3
+SUBSETS = 1 << 2 * HALF
 #: Ranges of doc_id at most; their bounds go with the plan.
 RANGES = 1 << 12
 LAST_ID = -(1 << 63)
@@ -50,20 +53,27 @@ def in_lexicon(found: Column, bits: str = "bitmap") -> Column:
 
 
 def hashes(kept: str, text: str) -> Column:
-    """A hash for each subset of the lexicon, "" where the text has no term of it; subset s has one of OF terms, by a hash with s."""
+    """A hash for each subset of the lexicon, null where the text has no term of it; hashes of the whole text where it has none of any."""
 
-    def one(s: int) -> Column:
-        some = F.filter(kept, lambda t: F.xxhash64(t, F.lit(s)).bitwiseAND(F.lit(OF - 1)) == 0)
-        return F.when(F.size(kept) == 0, F.xxhash64(text, F.lit(s))).when(F.size(some) > 0, F.xxhash64(some))
+    def parts(found: Column, bits: int, above: Column) -> Column:
+        """The terms whose first ``bits`` bits are ``above`` and each number of HALF bits."""
+        return F.transform(F.sequence(F.lit(0), F.lit((1 << HALF) - 1)), lambda i: F.filter(found, lambda t: F.shiftrightunsigned(t, 64 - bits) == above * (1 << HALF) + i))
 
-    return F.array(*(F.coalesce(F.lower(F.lpad(F.hex(one(s)), 16, "0")), F.lit("")) for s in range(SUBSETS)))
+    subsets = F.flatten(F.transform(parts(F.col(kept), HALF, F.lit(0)), lambda found, i: parts(found, 2 * HALF, i)))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.xxhash64(text, s))
+    return F.when(F.size(kept) == 0, whole).otherwise(F.transform(subsets, lambda some: F.when(F.size(some) > 0, F.xxhash64(some))))
+
+
+def written(found: str) -> Column:
+    """The hashes in hexadecimal digits, "" for empty subsets."""
+    return F.array_join(F.transform(found, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit(""))), ".")
 
 
 def likeness(a: str, b: str) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == "") & (y == ""), F.lit(None)).otherwise((x == y).cast("int")))
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), x.eqNullSafe(y).cast("int")))
     known = F.filter(pairs, lambda x: x.isNotNull())
     total = F.aggregate(known, F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(0.0)).cast("double")
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(0.0)).cast("double")
 
 
 def fingerprint(df: DataFrame, bits: DataFrame, text: str, to: str) -> DataFrame:
@@ -131,8 +141,8 @@ def digests(documents: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join("own", ".").alias("fingerprint"),
-        F.array_join("other", ".").alias("edited_fingerprint"),
+        written("own").alias("fingerprint"),
+        written("other").alias("edited_fingerprint"),
         likeness("own", "other").alias("near_edited"),
         likeness("own", "next_own").alias("near_next"),
     )

@@ -289,6 +289,26 @@ def test_lexicon_is_a_band(docs, rows):
     assert fingerprints.lexicon(docs).count() == len(want)
 
 
+def test_every_lexicon_term_counts(spark):
+    # 3000 documents; each of 300 terms is in 10 of them, and no document has more than one.
+    texts = [f"term{i % 300}" if i < 2000 else f"lone{i}" for i in range(3000)]
+    texts += [f"term{i} term{(i + 1) % 300}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in fingerprints.digests(df).collect()}
+    prints = [found[i]["fingerprint"] for i in range(len(texts))]
+    assert all(p.strip(".") for p in prints)
+    assert len(set(prints)) == len(set(texts))
+    assert all(p.count(".") == fingerprints.SUBSETS - 1 for p in prints)
+
+
+def test_equal_fingerprints_are_alike(spark):
+    texts = ["", "", "none of it", "none of it", "a b", "a b"] + [f"w{i // 2} x" for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in fingerprints.digests(df).collect()}
+    for i in range(1, len(texts), 2):
+        assert found[i]["near_next"] == 1
+
+
 # ---- 10
 
 
