@@ -7,15 +7,23 @@ common word so has a row a chunk, not a row an occurrence, and no table of all
 words is ever in one place. Words are told apart by 64-bit hashes.
 
 Model: a byte is eight binary decisions. For each, the orders 0 to 5 (so many bytes
-before it) look up hashed slots with counts of zeros and ones over all training
-texts; the logits of these predictors, and a bias, are mixed by weights that the
+before it) look up counts of zeros and ones after exactly these bytes over all
+training texts; the logits of these predictors, and a bias, are mixed by weights that the
 number of orders that know the context and the place of the bit select, learned online by
 gradient descent on coding cost over all the training texts' contexts, each shard
 for itself, the shards' weights averaged. An adaptive map by order-1 context
-refines the mixed probability. Tables have a fixed size. As a decision depends on
-six bytes alone, all corpus passes work on counts of distinct six-byte strings,
-which are the same sums as over the texts; ``score`` is the log10 of the product of
-the texts' byte probabilities, and ``bits_per_byte`` follows from it.
+refines the mixed probability. As a decision depends on six bytes alone, all corpus
+passes work on counts of distinct six-byte strings, which are the same sums as over
+the texts; ``score`` is the log10 of the product of the texts' byte probabilities,
+and ``bits_per_byte`` follows from it.
+
+The counts are a distributed table that grows with the corpus. Chunks of texts, held
+out or not, send each of their distinct six-byte strings, with its count in training
+texts, to the block of the three bytes before its last: a block so has all counts of
+the orders from 3 on of its strings. Those of lower orders are at most 2**24, one for
+each three bytes that occur, and go to all. A block works out the probability of each
+of its strings once and sends it back to the chunks that asked. The strings with the
+same three bytes before their last are in one block.
 
 Null texts are empty: an end token, a score of 0. Null ids are trained on. Without
 training texts all counts are 0. Repeated rows are scored alike and count as often
@@ -37,6 +45,10 @@ from spindrift.llm.near_dedup import word_hashes
 CHUNK = 8 << 20
 ORDERS = 6
 SLOT_BITS = 19
+#: The least order whose contexts are dealt into blocks.
+DEALT = 3
+#: Rows of a block, if its contexts can be parted.
+BLOCK = 1 << 17
 GATES = (ORDERS + 1) * 8
 MAP_CONTEXTS, MAP_LEVELS = 256, 24
 END_TOKEN = 1
@@ -136,32 +148,116 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram, n over docs (text)."""
+def chunk_grams(table: pa.Table) -> pa.Table:
+    """chunk, gram, n: the distinct grams of a chunk and how often its training texts have them."""
+    grams, counts, have = [np.zeros(0, np.uint64)], [np.zeros(0)], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        every, back = np.unique(np.concatenate(grams), return_inverse=True)
+        return every, np.bincount(back, np.concatenate(counts), len(every))
+
+    for part in slices(iter(table.combine_chunks().to_batches())):
+        names = part.schema.names
+        data, offsets = flat(part.column(names.index("text")))
+        train = ~part.column(names.index("held_out")).to_numpy(zero_copy_only=False)
+        g, back = np.unique(grams_of(data, offsets), return_inverse=True)
+        grams.append(g)
+        counts.append(np.bincount(back, np.repeat(train, np.diff(offsets)).astype(np.float64), len(g)))
+        have += len(g)
+        if have > 4 << 20:
+            g, n = merged()
+            grams, counts, have = [g], [n], 0
+    g, n = merged()
+    chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
+    return pa.table({"chunk": pa.array(np.full(len(g), chunk), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def gram_blocks(docs: DataFrame) -> DataFrame:
+    """gram, chunk, n: lists, a row a block, of docs (chunk, held_out, text); all that share the DEALT bytes before the last are in one block."""
+    grams = docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(chunk_grams, "chunk int, gram long, n long")
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
+    grams = grams.select(F.xxhash64(context).alias("at"), "gram", "chunk", "n").repartition("at").sortWithinPartitions("at", "gram")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: list[np.ndarray]) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in rows[1:]]
+            return pa.RecordBatch.from_arrays(lists, names=["gram", "chunk", "n"])
+
+        held, have, enough = [], 0, BLOCK
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(4)])
+            have += batch.num_rows
+            if have >= enough:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+                if len(cuts):
+                    yield block([c[: cuts[-1]] for c in rows])
+                    rows = [c[cuts[-1] :] for c in rows]
+                held, have = [rows], len(rows[0])
+                enough = max(BLOCK, 2 * have)
+        if have:
+            yield block([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return grams.mapInArrow(run, "gram array<long>, chunk array<int>, n array<long>")
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block: its distinct grams, their counts, the place of each row's gram in them, and each row's chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            gram, chunk, n = (batch.column(k)[i].values.to_numpy() for k in range(3))
+            every, back = np.unique(gram.astype(np.uint64), return_inverse=True)
+            yield every, np.bincount(back, n, len(every)), back, chunk
+
+
+def low_orders(blocks: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order below DEALT the sorted pairs of context and byte, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, have = [], [], 0
-
-        def told(keep: bool) -> tuple[np.ndarray, np.ndarray]:
-            every, back = np.unique(np.concatenate(grams), return_inverse=True)
-            return every, np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
-
-        for part in slices(batches):
-            g, n = np.unique(grams_of(*flat(part.column(0))), return_counts=True)
-            grams.append(g)
-            counts.append(n)
-            have += len(g)
-            if have > 4 << 20:
-                g, n = told(True)
-                grams, counts, have = [g], [n], len(g)
-                if have > 2 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], names=["gram", "n"])
-                    grams, counts, have = [], [], 0
-        if grams:
-            g, n = told(False)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        for gram, n, _, _ in blocks_of(batches):
+            pair, back = np.unique(gram & np.uint64((1 << 8 * DEALT) - 1), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(np.bincount(back, n, len(pair)).astype(np.int64))], names=["pair", "n"])
+
+    # At most 2**24 rows, whatever the input's size.
+    found = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = found.column("pair").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    out = []
+    for order in range(DEALT):
+        every, back = np.unique(pair & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        out.append((every, np.bincount(back, n, len(every))))
+    return out
+
+
+class Counts:
+    """Counts of zeros and ones after each context of a block's distinct grams that occur n times each."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.orders = []
+        for order in range(ORDERS):
+            pair = gram & np.uint64((1 << 8 * (order + 1)) - 1)
+            if order < DEALT:
+                every, total = low[order]
+                own = np.isin(every >> np.uint64(8), np.unique(pair >> np.uint64(8)))
+                every, total = every[own], total[own]
+                back = np.searchsorted(every, pair)
+            else:
+                every, back = np.unique(pair, return_inverse=True)
+                total = np.bincount(back, n, len(every))
+            self.orders.append((every, total, back.astype(np.int32)))
+
+    def of(self, bit: int) -> list[np.ndarray]:
+        """For each order the zeros and ones of the bit-th decision of each pair of context and byte."""
+        out = []
+        for every, total, _ in self.orders:
+            node = every >> np.uint64(8 - bit)
+            group = np.cumsum(np.append(False, node[1:] != node[:-1]))
+            y = (every >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64)
+            out.append(np.stack([np.bincount(group, total * (1 - y))[group], np.bincount(group, total * y)[group]], axis=1))
+        return out
+
+    def rows(self, found: list[np.ndarray], at: np.ndarray | slice) -> np.ndarray:
+        """What ``of`` found, for the grams at these places: orders x grams x 2."""
+        return np.stack([n[back[at]] for n, (_, _, back) in zip(found, self.orders, strict=True)])
 
 
 def slots(gram: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,18 +273,21 @@ def slots(gram: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixer:
-    """Slot counts, gated weights and the adaptive map; all of fixed size."""
+    """Gated weights and the adaptive map, of fixed size; without Counts it reads slots that its user gives, which contexts share."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray | None = None) -> None:
         self.counts = counts  # slots x 2
         self.weights = np.zeros((GATES, ORDERS + 1))
         self.weights[:, :ORDERS] = 0.3
         self.map = np.zeros((MAP_CONTEXTS * MAP_LEVELS, 2))
 
-    def inputs(self, gram: np.ndarray, bit: int, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of the predictors (grams x inputs), gates, outcomes; left_out: occurrences that are not counted."""
-        at, y = slots(gram, bit)
-        n = self.counts[at].astype(np.float64)
+    def inputs(self, gram: np.ndarray, bit: int, left_out: int = 0, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the predictors (grams x inputs), gates, outcomes; left_out: occurrences that are not counted; n: what Counts.rows gives."""
+        if n is None:
+            at, y = slots(gram, bit)
+            n = self.counts[at].astype(np.float64)
+        else:
+            y = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
         if left_out:
             n[:, np.arange(len(y)), y] = np.maximum(n[:, np.arange(len(y)), y] - left_out, 0)
         x = np.empty((len(y), ORDERS + 1))
@@ -205,86 +304,77 @@ class Mixer:
         context = mix((gram.astype(np.uint64) >> np.uint64(8 - bit) & np.uint64((1 << 8 + bit) - 1)) << np.uint64(3) | np.uint64(bit)) >> np.uint64(56)
         return context.astype(np.int64) * MAP_LEVELS + np.clip((z + 12).astype(np.int64), 0, MAP_LEVELS - 1)
 
-    def learn(self, gram: np.ndarray, n: np.ndarray, rate: float = 0.02, block: int = 2048) -> None:
-        """One online pass over grams that occur n times each."""
-        for i in range(0, len(gram), block):
-            g, weight = gram[i : i + block], np.sqrt(n[i : i + block])
-            for bit in range(8):
-                x, gate, y = self.inputs(g, bit, 1)
+    def learn(self, gram: np.ndarray, n: np.ndarray, counts: Counts, rate: float = 0.02, block: int = 2048) -> None:
+        """One online pass over grams that occur n times each, in an order of its own; the bits have weights of their own."""
+        order = np.random.default_rng(0).permutation(np.flatnonzero(n))
+        for bit in range(8):
+            found = counts.of(bit)
+            for i in range(0, len(order), block):
+                at = order[i : i + block]
+                weight = np.sqrt(n[at])
+                x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
                 error = (y - 1 / (1 + np.exp(-self.mixed(x, gate)))) * weight
                 step = np.zeros_like(self.weights)
                 np.add.at(step, gate, error[:, None] * x)
                 total = np.bincount(gate, weight, GATES)
                 self.weights += rate * step / np.maximum(total, 1)[:, None]
 
-    def map_counts(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def map_counts(self, gram: np.ndarray, n: np.ndarray, counts: Counts, block: int = 8192) -> np.ndarray:
         out = np.zeros((MAP_CONTEXTS * MAP_LEVELS, 2))
+        train = np.flatnonzero(n)
         for bit in range(8):
-            x, gate, y = self.inputs(gram, bit, 1)
-            np.add.at(out, (self.cell(gram, bit, self.mixed(x, gate)), y), n)
+            found = counts.of(bit)
+            for i in range(0, len(train), block):
+                at = train[i : i + block]
+                x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
+                np.add.at(out, (self.cell(gram[at], bit, self.mixed(x, gate)), y), n[at])
         return out
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
+    def log10(self, gram: np.ndarray, counts: Counts | None = None, block: int = 8192) -> np.ndarray:
         """log10 probability of each gram's last byte after its others."""
         total = np.zeros(len(gram))
         for bit in range(8):
-            x, gate, y = self.inputs(gram, bit)
-            z = self.mixed(x, gate)
-            p = 1 / (1 + np.exp(-z))
-            cell = self.map[self.cell(gram, bit, z)]
-            refined = (cell[:, 1] + 8 * p) / (cell.sum(axis=1) + 8)
-            p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(y == 1, p, 1 - p))
+            found = counts.of(bit) if counts else None
+            for i in range(0, len(gram), block):
+                g, at = gram[i : i + block], slice(i, i + block)
+                x, gate, y = self.inputs(g, bit, 0, counts.rows(found, at) if counts else None)
+                z = self.mixed(x, gate)
+                p = 1 / (1 + np.exp(-z))
+                cell = self.map[self.cell(g, bit, z)]
+                refined = (cell[:, 1] + 8 * p) / (cell.sum(axis=1) + 8)
+                p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
+                total[at] += np.log10(np.where(y == 1, p, 1 - p))
         return total
 
 
-def train(docs: DataFrame) -> Mixer:
-    """A mixer of all docs (text)."""
-    spark = docs.sparkSession
-    grams = stored(gram_counts(docs), "grams")
-    size = ORDERS << SLOT_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((size, 2))
-        for batch in batches:
-            g, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for bit in range(8):
-                at, y = slots(g, bit)
-                for order in range(ORDERS):
-                    np.add.at(out, (at[order], y), n)
-        used = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used, 0].astype(np.int64)), pa.array(out[used, 1].astype(np.int64))], names=["slot", "n0", "n1"])
-
-    # At most ORDERS * 2**SLOT_BITS rows, whatever the input's size.
-    summed = grams.mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    counts = np.zeros((size, 2), np.float32)
-    counts[summed.column("slot").to_numpy()] = np.stack([summed.column("n0").to_numpy(), summed.column("n1").to_numpy()], axis=1)
-    mixer = Mixer(counts)
-    sent = spark.sparkContext.broadcast(mixer)
+def train(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
+    """A mixer of all grams of the blocks that training texts have."""
+    context = blocks.sparkSession.sparkContext
+    mixer, sent = Mixer(), context.broadcast(low)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(sent.value.counts)
+        own = Mixer()
         total = 0.0
-        for batch in batches:
-            own.learn(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            total += float(np.sqrt(batch.column(1).to_numpy()).sum())
+        for gram, n, _, _ in blocks_of(batches):
+            own.learn(gram, n, Counts(gram, n, sent.value))
+            total += float(np.sqrt(n).sum())
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.ravel().tolist()])], names=["total", "weights"])
 
     sums = [F.sum(F.col("total") * F.col("weights")[i]) for i in range(mixer.weights.size)]
-    row = grams.mapInArrow(learn, "total double, weights array<double>").agg(F.sum("total"), F.array(*sums)).first()
+    row = blocks.mapInArrow(learn, "total double, weights array<double>").agg(F.sum("total"), F.array(*sums)).first()
     if row[0]:
         mixer.weights = np.array(row[1]).reshape(mixer.weights.shape) / row[0]
-        weighted = spark.sparkContext.broadcast(mixer)
+        weighted = context.broadcast(mixer)
 
         def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(weighted.value.map)
-            for batch in batches:
-                out += weighted.value.map_counts(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            for gram, n, _, _ in blocks_of(batches):
+                out += weighted.value.map_counts(gram, n, Counts(gram, n, sent.value))
             used = np.flatnonzero(out.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used, 0]), pa.array(out[used, 1])], names=["cell", "n0", "n1"])
 
-        cells = grams.mapInArrow(refine, "cell long, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        cells = blocks.mapInArrow(refine, "cell long, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
         mixer.map = np.zeros_like(mixer.map)
         mixer.map[cells.column("cell").to_numpy()] = np.stack([cells.column("n0").to_numpy(), cells.column("n1").to_numpy()], axis=1)
     return mixer
@@ -321,30 +411,56 @@ class Scorer:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def score(docs: DataFrame, mixer: Mixer, text: str = "text") -> DataFrame:
-    """docs with score and bits_per_byte (columns of those names are replaced)."""
-    docs = docs.drop("score", "bits_per_byte")
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte")).schema
-    sent = docs.sparkSession.sparkContext.broadcast(mixer)
+SCORES = "doc_id long, text_hash long, score double, bits_per_byte double"
+
+
+def chunk_sums(docs: pa.Table, grams: pa.Table) -> pa.Table:
+    """SCORES rows of a chunk's texts, by the log10 probabilities of its distinct grams."""
+    table = Table(max(8, grams.num_rows.bit_length() + 1))
+    key = lambda gram: mix(gram.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    table.add(key(grams.column("gram").to_numpy()), np.arange(grams.num_rows, dtype=np.int32))
+    values = grams.column("log").to_numpy()
+    out: dict[str, list] = {"doc_id": [], "text_hash": [], "score": [], "bits_per_byte": []}
+    for part in slices(iter(docs.combine_chunks().to_batches())):
+        names = part.schema.names
+        data, offsets = flat(part.column(names.index("text")))
+        total = np.append(0, np.cumsum(values[table.find(key(grams_of(data, offsets)))]))
+        found = total[offsets[1:]] - total[offsets[:-1]]
+        out["doc_id"] += part.column(names.index("doc_id")).to_pylist()
+        out["text_hash"] += part.column(names.index("text_hash")).to_pylist()
+        out["score"] += found.tolist()
+        out["bits_per_byte"] += (-found / np.log10(2) / np.maximum(np.diff(offsets), 1)).tolist()
+    return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "text_hash") else pa.float64()) for k, v in out.items()})
+
+
+def score(docs: DataFrame, blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer) -> DataFrame:
+    """SCORES rows of docs (chunk, doc_id, text_hash, text), whose grams the blocks have."""
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast((low, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for part in slices(batches, text):
-            data, offsets = flat(part.column(part.schema.get_field_index(text)))
-            found = scorer(data, offsets)
-            bits = -found / np.log10(2) / np.maximum(np.diff(offsets), 1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(bits)], names=[*part.schema.names, "score", "bits_per_byte"])
+        low, mixer = sent.value
+        for gram, n, back, chunk in blocks_of(batches):
+            log = mixer.log10(gram, Counts(gram, n, low))
+            rows = pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(gram.astype(np.int64)[back]), pa.array(log[back])], names=["chunk", "gram", "log"])
+            for i in range(0, rows.num_rows, BLOCK):
+                yield rows.slice(i, BLOCK)
 
-    return docs.mapInArrow(run, schema)
+    answers = blocks.mapInArrow(run, "chunk int, gram long, log double")
+    docs = docs.select("chunk", "doc_id", "text_hash", "text")
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(chunk_sums, SCORES)
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """Base and model scores of all documents; the model learns from those that aren't held out."""
     held = F.coalesce(crc_of_id(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out")
     docs = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text"))
-    mixer = train(docs.filter("not held_out"))
-    scored = score(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), mixer).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "score", "bits_per_byte")
-    scored = scored.groupBy("d", "t").agg(F.first("score").alias("score"), F.first("bits_per_byte").alias("bits_per_byte"))
+    n = chunks_for(docs, CHUNK)
+    dealt = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int"))
+    blocks = stored(gram_blocks(dealt), "grams", compression="zstd")
+    low = low_orders(blocks)
+    scored = stored(score(dealt, blocks, low, train(blocks, low)), "scores")
+    scored = scored.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.first("score").alias("score"), F.first("bits_per_byte").alias("bits_per_byte"))
     base = stored(base_scores(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "held_out", "text")), "base")
     total = base.filter("known_words is not null").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.coalesce(F.sum("known_words"), F.lit(0)).alias("v")).first()
     rows = base.filter("known_words is null")

@@ -187,6 +187,42 @@ def test_scores_are_sums_over_bytes():
     assert got == pytest.approx(want)
 
 
+def test_contexts_have_counts_of_their_own(spark, docs, rows):
+    """Scores by counts in dictionaries, which no two contexts share."""
+    unique = sorted({(r[0], (r[1] or "").encode()) for r in rows})
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in unique}
+    counts = collections.Counter()
+    for d, data in ((r[0], (r[1] or "").encode()) for r in rows):
+        padded = bytes(5) + data
+        for i in range(len(data)) if not held[d] else ():
+            counts.update((padded[i + 5 - k : i + 5], bit, padded[i + 5] >> 7 - bit) for k in range(6) for bit in range(8))
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"), (F.col("doc_id") % 4).cast("int").alias("chunk"))
+    dealt = dealt.withColumn("held_out", F.col("doc_id").isin([d for d in held if held[d]]))
+    blocks = language_model.gram_blocks(dealt).cache()
+    low = language_model.low_orders(blocks)
+    mixer = language_model.train(blocks, low)
+    found = {r["doc_id"]: r["score"] for r in language_model.score(dealt, blocks, low, mixer).collect()}
+    assert found.keys() == held.keys()
+    assert {d for d, _ in unique if held[d]} and len({k for k in counts if len(k[0]) == 5}) > 10_000
+    for d, data in unique:
+        padded = bytes(5) + data[:400]
+        if len(data) > 400:
+            continue
+        want = 0.0
+        for i in range(len(data)):
+            gram = np.array([int.from_bytes(padded[i : i + 6], "big")], np.uint64)
+            for bit in range(8):
+                top = padded[i + 5] >> 8 - bit
+                n = [[counts[padded[i + 5 - k : i + 5], bit, 2 * top + y] for y in (0, 1)] for k in range(6)]
+                x, gate, y = mixer.inputs(gram, bit, 0, np.array(n, float)[:, None, :])
+                z = mixer.mixed(x, gate)
+                p = 1 / (1 + np.exp(-z))
+                cell = mixer.map[mixer.cell(gram, bit, z)]
+                p = np.clip(0.5 * p + 0.5 * (cell[:, 1] + 8 * p) / (cell.sum(axis=1) + 8), 1e-6, 1 - 1e-6)
+                want += np.log10(p if y[0] else 1 - p)[0]
+        assert found[d] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
 # ---- 5
 
 
