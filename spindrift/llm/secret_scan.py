@@ -39,8 +39,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 RUN, BEFORE, AFTER, WINDOW = 16, 24, 12, 96
-_RUNS = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % RUN)
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_SIGN = re.compile("[A-Za-z0-9]")
 
 Span = tuple[int, str, int]
 
@@ -103,6 +102,8 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    #: Characters of the shortest candidate: RUN, or those of the shortest labelled secret.
+    least: int = RUN
 
     WIDTH = 5
 
@@ -201,6 +202,7 @@ def fit(findings: list[tuple[str, str, str, int]] | None = None, *, recall: floa
     x = np.stack([w for i in train for w in windows[i]])
     label = np.array([y[i] for i in train for _ in windows[i]], np.float32)
     net = Network.new(rng)
+    net.least = max(1, min([RUN, *(len(f[1]) for f in findings if f[3])]))
     for epoch in range(epochs):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
             net.step(x[at], label[at], rate * (1 - epoch / epochs))
@@ -228,15 +230,32 @@ def network() -> Network:
     return _networks[0]
 
 
+def uncovered(runs: list[tuple[int, int]], spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of the runs that no span covers; both are sorted by start."""
+    at = 0
+    for a, b in runs:
+        while at < len(spans) and spans[at][0] < b:
+            start, _, end = spans[at]
+            if start > a:
+                yield a, start
+            a = max(a, end)
+            if end > b:
+                break
+            at += 1
+        if a < b:
+            yield a, b
+
+
 def find(texts: list[str], net: Network) -> list[list[Span]]:
     """All findings of each text as (start, kind, end), by start and kind."""
+    runs_of = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % net.least)
     found, asked, windows = [], [], []
     for k, text in enumerate(texts):
-        runs = [m.span() for m in _RUNS.finditer(text)]
-        spans = base_spans(text, runs)
+        runs = [m.span() for m in runs_of.finditer(text)]
+        spans = base_spans(text, [(a, b) for a, b in runs if b - a >= RUN])
         found.append(spans)
-        for a, b in runs:
-            if _DIGIT.search(text, a, b) and _LETTER.search(text, a, b) and not any(s < b and e > a for s, _, e in spans):
+        for a, b in uncovered(runs, spans):
+            if b - a >= net.least and _SIGN.search(text, a, b):
                 asked.append((k, a, b))
                 windows.append(encode(text[max(0, a - BEFORE) : a], text[a:b], text[b : b + AFTER]))
     for (k, a, b), p in zip(asked, net.scores(windows), strict=True):

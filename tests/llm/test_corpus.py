@@ -1,6 +1,7 @@
 """Operators 1 to 5, 8 and 10 against brute force."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -63,6 +64,34 @@ def test_redaction(docs):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_network_sees_every_candidate():
+    letters, mixed = "qWzRtXvKpLmNbVcXzQwRtYpK", "Zk3xQ9vB7nM2wR5tY8uG1hJ4"
+    kinds = lambda text, net: [s for s in secret_scan.find([text], net)[0] if s[1] == "cnn"]
+    net = secret_scan.network()
+    every = dataclasses.replace(net, threshold=0.0)
+    assert kinds(f"key: {letters} here", every) == [(5, "cnn", 29)]
+    assert kinds(f"key: {'0a' * 8}{mixed} here", net) == [(21, "cnn", 45)]
+    assert not kinds("internationalisation and Donaudampfschifffahrt, well-known/and/so-forth", net)
+    short = secret_scan.fit([(a, c[:10] if y else c, b, y) for a, c, b, y in secret_scan.labelled_findings(600)])
+    assert short.least == 10 and net.least == secret_scan.RUN
+    short.threshold = 0.0
+    assert kinds("key: Zk3xQ9vB7n here", short) == [(5, "cnn", 15)]
+
+
+def test_uncovered_parts():
+    rng = random.Random(1)
+    for _ in range(500):
+        runs, at = [], 0
+        for _ in range(3):
+            at += rng.randint(1, 5)
+            runs.append((at, at + rng.randint(1, 12)))
+            at = runs[-1][1]
+        spans = sorted((a := rng.randint(0, 40), "hex", a + rng.randint(1, 15)) for _ in range(rng.randint(0, 4)))
+        covered = {i for a, _, b in spans for i in range(a, b)}
+        got = [i for a, b in secret_scan.uncovered(runs, spans) for i in range(a, b)]
+        assert got == [i for a, b in runs for i in range(a, b) if i not in covered]
+
+
 # ---- 2
 
 
