@@ -7,7 +7,7 @@ how many rows an Arrow batch or a partition has.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -23,12 +23,19 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set.
+
+    Where neither is set a local master gets a folder beside its warehouse; on a cluster that is an error,
+    as a machine's own folder would lose what the others write.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
         found = context._jsc.sc().getCheckpointDir().get()
     return found
 
@@ -50,13 +57,26 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer thinks that df reads (file sizes for files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files, or of the cached or local rows, that df's plan reads; where Spark doesn't know them, df's strings are measured.
+
+    The leaves of the plan are summed: the optimizer's figure for a join is a product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if known < 1 << 62:
+        return known
+    return text_bytes(df)
+
+
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all strings of df, counted."""
+    strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() == "string"]
+    return int(df.agg(F.coalesce(F.sum(sum(strings, F.lit(8).cast("long"))), F.lit(0))).first()[0])
 
 
 def chunks_for(df: DataFrame, each: int) -> int:
-    """How many chunks of about ``each`` input bytes df makes: at least one for each core, never more than 2**20."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 20, -(-input_bytes(df) // each)))
+    """How many chunks of about ``each`` input bytes df makes: at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // each))
 
 
 def crc_of_id(doc_id: Column) -> Column:
@@ -110,17 +130,67 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums for span_hash; element i covers the first i bytes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans over this many bytes are hashed, or compared, one at a time.
+LONG_SPAN = 512
+
+
+def eights(data: np.ndarray, padded: bool = False) -> np.ndarray:
+    """The 8 bytes from each place on as a number; padded: the last 8 bytes are room, else zeros stand behind the end."""
+    if not padded:
+        data = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal spans wherever they stand; never 0.
+
+    Eight bytes at a time are stirred into what came before, so no hash is a sum over
+    its letters, and spans that differ in a regular way don't meet.
+    """
+    eight, size = eights(data), end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(BASE))
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        if at >= LONG_SPAN:
+            for k in live.tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+            break
+        part = eight[start[live] + at] & LOW_BYTES[np.minimum(size[live] - at, 8)]
+        h[live] = mix((h[live] ^ part) * np.uint64(BASE))
+        at += 8
+        live = live[size[live] > at]
+    return h | np.uint64(1 << 40)
+
+
+def spans_equal(data: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the spans data[start : start + size] equal other[begin : begin + size], byte by byte; other has 8 bytes of room behind."""
+    ok = np.ones(len(size), bool)
+    a, b = eights(data), eights(other, padded=True)
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        if at >= LONG_SPAN:
+            for k in live.tolist():
+                ok[k] = data[start[k] : start[k] + size[k]].tobytes() == other[begin[k] : begin[k] + size[k]].tobytes()
+            break
+        ok[live] = ((a[start[live] + at] ^ b[begin[live] + at]) & LOW_BYTES[np.minimum(size[live] - at, 8)]) == 0
+        at += 8
+        live = live[ok[live] & (size[live] > at)]
+    return ok
+
+
+def rolling_sums(data: np.ndarray) -> np.ndarray:
+    """Sums for rolling_hash. Each place stands for its 8 bytes, stirred, not for one letter."""
+    n = max(0, len(data) - 7)
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(eights(data)[:n] * np.uint64(BASE)) * powers(n), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal spans wherever they stand; never 0."""
-    h = (prefix[end] - prefix[start]) * powers(len(prefix), BASE_INV, "down")[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1 << 40)
+def rolling_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of 8 bytes or more, equal for equal spans wherever they stand."""
+    h = (sums[end - 7] - sums[start]) * powers(len(sums), BASE_INV, "down")[start]
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 class Table:

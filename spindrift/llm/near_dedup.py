@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import flat, mix, prefix_hash, slices, span_hash, stored
+from spindrift.llm.common import flat, mix, slices, span_hash, stored
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
@@ -61,7 +61,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts[edge] = ~gap[edge]
     ends[edge - 1] = ~gap[edge - 1]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return span_hash(prefix_hash(_LOWER[data]), a, b), np.searchsorted(a, offsets)
+    return span_hash(_LOWER[data], a, b), np.searchsorted(a, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from spindrift.llm.common import Table, prefix_hash, span_hash, spread
+from spindrift.llm.common import Table, span_hash, spans_equal, spread
 
 # White space of the pattern's \s.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -70,39 +70,76 @@ def starts_of(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return starts
 
 
+class Pool:
+    """Arrays one after another in one that grows and always has some room behind."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.used, self.n = np.zeros(1 << 16, kind), 0, 0
+        self.at, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def add(self, arrays: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        got = np.concatenate(arrays)
+        if self.used + len(got) + 8 > len(self.data):
+            self.data = np.resize(self.data, 2 * (self.used + len(got) + 8))
+        if self.n + len(size) > len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * (self.n + len(size))), np.resize(self.size, 2 * (self.n + len(size)))
+        self.data[self.used : self.used + len(got)] = got
+        self.at[self.n : self.n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[self.n : self.n + len(size)] = size
+        self.used += len(got)
+        self.n += len(size)
+
+
 class Encoder:
     """Token ids of whole texts; each distinct piece is encoded once and kept in a bounded table.
 
     encode: pieces (bytes) to arrays of ids. A full table is emptied; results don't depend on it.
-    Pieces are told apart by 64-bit hashes with their lengths.
+    Pieces are found by 64-bit hashes and then compared byte by byte; one whose hash
+    belongs to another piece is encoded each time.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], special: int, bits: int = 22) -> None:
         self.encode, self.special, self.bits = encode, special, bits
         self.empty()
 
-    def empty(self) -> None:
-        self.table, self.pool, self.used = Table(self.bits), np.zeros(1 << 16, np.int32), 0
-        self.at, self.len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-
-    def learn(self, pieces: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        """Encodes new pieces; their numbers."""
-        ids = self.encode(pieces)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        got = np.concatenate(ids)
-        if self.used + len(got) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(got)))
-        have = self.table.n
-        if have + len(ids) > len(self.at):
-            self.at, self.len = np.resize(self.at, 2 * (have + len(ids))), np.resize(self.len, 2 * (have + len(ids)))
-        self.pool[self.used : self.used + len(got)] = got
-        self.at[have : have + len(ids)] = self.used + np.cumsum(n) - n
-        self.len[have : have + len(ids)] = n
-        self.used += len(got)
-        numbers = np.arange(have, have + len(ids), dtype=np.int32)
-        self.table.add(hashes, numbers)
+    def empty(self, bits: int = 0) -> None:
+        self.table, self.known = Table(bits or self.bits), 0
+        self.ids, self.letters = Pool(np.int32), Pool(np.uint8)
+
+    def learn(self, pieces: list[bytes], hashes: np.ndarray | None = None) -> np.ndarray:
+        """Encodes new pieces; their numbers. Without hashes they can't be found again."""
+        self.ids.add(self.encode(pieces))
+        self.letters.add([np.frombuffer(p, np.uint8) for p in pieces])
+        numbers = np.arange(self.known, self.known + len(pieces), dtype=np.int32)
+        self.known += len(pieces)
+        if hashes is not None:
+            self.table.add(hashes, numbers)
         return numbers
 
+    def numbers(self, data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each piece data[a:b]; new ones are learned."""
+        letters = np.frombuffer(data, np.uint8)
+        cut = lambda at: [data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+        h = span_hash(letters, a, b)
+        number = self.table.find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            uh, index, back = np.unique(h[new], return_index=True, return_inverse=True)
+            if len(uh) > self.table.room or self.known > 1 << self.bits:
+                new = np.arange(len(h))
+                uh, index, back = np.unique(h, return_index=True, return_inverse=True)
+                self.empty(max(self.bits, len(uh).bit_length() + 2))
+            number[new] = self.learn(cut(new[index]), uh)[back]
+        size = b - a
+        same = self.letters.size[number] == size
+        at = np.flatnonzero(same)
+        same[at] = spans_equal(letters, a[at], self.letters.data, self.letters.at[number[at]], size[at])
+        other = np.flatnonzero(~same)
+        if len(other):
+            number[other] = self.learn(cut(other))
+        return number
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         parts, owner, marks = [], [], []
@@ -130,21 +167,9 @@ class Encoder:
             data = whole.encode()
             a = to_byte[s]
             b = np.append(a[1:], len(data))
-            h = span_hash(prefix_hash(np.frombuffer(data, np.uint8)), a, b)
-            number = self.table.find(h)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                uh, index, back = np.unique(h[new], return_index=True, return_inverse=True)
-                if len(uh) > self.table.room:
-                    self.empty()
-                    new = np.arange(len(h))
-                    uh, index, back = np.unique(h, return_index=True, return_inverse=True)
-                    if len(uh) > self.table.room:
-                        self.table = Table(len(uh).bit_length() + 2)
-                at = new[index]
-                number[new] = self.learn([data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)], uh)[back]
-            n = self.len[number]
-            ids = self.pool[spread(self.at[number], n)]
+            number = self.numbers(data, a, b)
+            n = self.ids.size[number]
+            ids = self.ids.data[spread(self.ids.at[number], n)]
             part_of = np.searchsorted(begin, s, side="right") - 1
             per_part = np.bincount(part_of, n, len(parts)).astype(np.int64)
             counts += np.bincount(np.array(owner), per_part, len(texts)).astype(np.int64)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import BASE_INV, chunks_for, flat, mix, powers, prefix_hash, slices, span_hash, spread, stored
+from spindrift.llm.common import chunks_for, flat, rolling_hash, rolling_sums, slices, spread, stored
 
 SPAN, GRAM = 100, 36
 GRAMS = SPAN - GRAM + 1
@@ -48,9 +48,10 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, .
     """Phrases as (trigger, phrase hash, number of the text, first window, last window); places count from the text's start."""
     for at in range(0, max(0, len(data) - SPAN + 1), SEGMENT):
         part = data[at : at + SEGMENT + SPAN - 1]
-        p = prefix_hash(part)
+        sums = rolling_sums(part)
         n = len(part) - GRAM + 1
-        gram = mix((p[GRAM:] - p[:-GRAM]) * powers(len(p), BASE_INV, "down")[:n])
+        grams = np.arange(n)
+        gram = rolling_hash(sums, grams, grams + GRAM)
         least = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
         have = 1
         while have < GRAMS:
@@ -70,7 +71,7 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, .
         last = np.flatnonzero(stop)
         of = text[first]
         base = at - offsets[of]
-        yield gram[trigger[first]].view(np.int64), span_hash(p, first, last + SPAN).view(np.int64), of, first + base, last + base
+        yield gram[trigger[first]].view(np.int64), rolling_hash(sums, first, last + SPAN).view(np.int64), of, first + base, last + base
 
 
 PHRASES = "trigger long, phrase long, doc long, windows long"

@@ -46,7 +46,7 @@ def encoder(path: str) -> Encoder:
             parts = (pieces[i : i + 1024] for i in range(0, len(pieces), 1024))
             return [np.array(x.ids, np.int32) for part in parts for x in library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
 
-        _kept[path] = Encoder(encode, library.token_to_id(SPECIAL))
+        _kept[path] = Encoder(encode, library.token_to_id(SPECIAL), bits=21)
     return _kept[path]
 
 

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, fingerprints, language_id, language_model, near_dedup, secret_scan, span_dedup
+from tests.llm.test_tokens import mirrored_words
 
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -311,6 +312,24 @@ def test_components(spark, docs, rows, monkeypatch, block):
             assert r["component_id"] is None and r["kept"]
 
 
+def test_words_of_equal_sums_are_told_apart(spark):
+    a, b = mirrored_words()
+    texts = [a, b, f"{a} x", f"{b} x", " ".join([a] * 7), f"{a} x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = components_by_hand(list(enumerate(texts)))
+    for r in near_dedup.components(df).collect():
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
+    words = [t.split() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    counts = collections.Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    for r in language_model.digests(df).collect():
+        assert r["n_known"] == 1 + sum(counts[w] > 0 for w in words[r["doc_id"]])
+    ordered = [(i, (t * 2).encode()) for i, t in enumerate(texts)]
+    marks = removed_by_hand(ordered)
+    doubled = spark.createDataFrame([(i, t * 2) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in span_dedup.digests(doubled).collect()} == {i: sum(m) for i, m in enumerate(marks)}
+
+
 def test_dropping_duplicates(docs, empty, rows):
     want = components_by_hand([(r[0], r[1]) for r in rows])
     out = near_dedup.drop_duplicates(docs)

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from spindrift.llm import bpe, chat_format, token_files
-from spindrift.llm.common import Table, mix
+from spindrift.llm import bpe, chat_format, pretokens, token_files
+from spindrift.llm.common import Table, mix, rolling_hash, rolling_sums, span_hash
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,37 @@ def test_a_full_table_changes_nothing(path):
     assert small(texts)[0].tolist() == bpe.encoder(path)[1](texts)[0].tolist()
 
 
+def mirrored_words(letters="ab", steps=11):
+    """Two different words that sums modulo 2**64 can't tell apart: of the numbers 0, 1, .. one has a letter for an even count of ones, the other for an odd one."""
+    odd = [bin(i).count("1") & 1 for i in range(1 << steps)]
+    return "".join(letters[x] for x in odd), "".join(letters[1 - x] for x in odd)
+
+
+def test_words_of_equal_sums_are_told_apart(path, library):
+    a, b = mirrored_words()
+    for of in (bpe.encoder(path)[1], token_files.encoder(path)):
+        ids, counts = of([a, b, f"{b} {a}"])
+        want = [library.encode(t, add_special_tokens=False).ids for t in (a, b, f"{b} {a}")]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        assert want[0] != want[1]
+    data = np.frombuffer(f"{a}{b}".encode(), np.uint8)
+    n = len(a)
+    assert len(set(span_hash(data, np.array([0, n, 0, n]), np.array([n, 2 * n, 400, n + 400])).tolist())) == 4
+    sums = rolling_sums(data)
+    assert len(set(rolling_hash(sums, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
+def test_a_hash_of_another_piece_is_noticed(path, library, monkeypatch):
+    monkeypatch.setattr(pretokens, "span_hash", lambda data, a, b: np.minimum(b - a, 4).astype(np.uint64) << np.uint64(50))
+    merges, _ = bpe.encoder(path)
+    of = pretokens.Encoder(merges, merges.special, bits=10)
+    texts = ["one two three fourteen", "two one forty", "x" * 700 + " " + "x" * 699 + "y", "three"]
+    for _ in range(2):
+        ids, counts = of(texts)
+        assert ids.tolist() == sum((library.encode(t, add_special_tokens=False).ids for t in texts), [])
+        assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_digests(docs, empty, rows, path, library):
     found = {(r["doc_id"], r["ids_sha256"]): r for r in bpe.digests(docs, path).collect()}
     for doc_id, text, *_ in rows:
