@@ -2,15 +2,17 @@
 
 Every window of ``WINDOW`` words has a fingerprint: the least hash of its runs of
 ``GRAM`` words. So each shared window shares its fingerprint, and no window that
-is long enough can be missed. Windows of documents whose fingerprint may be one
-of the benchmark's (a bitmap of fixed size tells) are joined with the
-benchmark's fingerprints, and the hit is extended over the whole window: the
-join's key also holds its words. A benchmark item with fewer words is one window
-of its own length; such lengths (twelve at most) get fingerprints of their own.
+is long enough can be missed. Neighbouring windows with one fingerprint are one
+posting: its first place, and its words. Postings of documents that may have one of
+the benchmark's fingerprints (a bitmap sized by their number, ``MOST_WORDS`` at most,
+tells; it decides nothing) are joined with the benchmark's fingerprints, and hits are
+extended: the words of each window of a hit are joined with the benchmark's windows.
+A benchmark item with fewer words is one window of its own length; such lengths
+(twelve at most) get fingerprints of their own.
 
 Null texts and ids: a null text has no words; a null id is a document of its own
 id. Rows with equal id and text count once. Very long texts are taken whole; an
-empty benchmark hits nothing. Extra columns are ignored.
+empty benchmark hits nothing. Extra columns are ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import stored
 
 WINDOW, GRAM = 13, 6
-#: Words of 64 bits in the bitmap (128 KB), however large the benchmark is.
-BITMAP = 1 << 14
+#: Windows of a posting at most.
+POSTING = WINDOW - GRAM + 1
+#: Bits of a bitmap for each of its entries, and its size at most in numbers of 64 bits (16 MB).
+BITS_EACH, MOST_WORDS = 16, 1 << 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What parts words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,10 +69,6 @@ def fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df.drop("hashes", *(f"gram_{k}" for k in grams))
 
 
-def at_places(n: int, places: Column) -> Column:
-    return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.get(f"fp_{n}", i).alias("fp"), F.array_join(F.slice("words", i + 1, F.lit(n)), " ").alias("said")))
-
-
 def places(n: int) -> Column:
     return F.when(F.size(f"fp_{n}") > 0, F.sequence(F.lit(0), F.size(f"fp_{n}") - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -79,59 +79,67 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     short = [r["n"] for r in items.filter(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect()]
     lengths = [WINDOW, *sorted(short)]
     found = fingerprints(items, lengths)
-    of_length = [F.when((F.size("words") == n) if n < WINDOW else (F.size("words") >= n), at_places(n, places(n))) for n in lengths]
-    windows = found.select("item_id", F.explode(F.coalesce(*of_length)).alias("w")).select("item_id", "w.n", "w.fp", "w.said")
-    return windows, lengths
+    window = lambda n: lambda i: F.struct(F.lit(n).alias("n"), F.get(f"fp_{n}", i).alias("fp"), F.array_join(F.slice("words", i + 1, F.lit(n)), " ").alias("said"))
+    of_length = [F.when((F.size("words") == n) if n < WINDOW else (F.size("words") >= n), F.transform(places(n), window(n))) for n in lengths]
+    return found.select("item_id", F.explode(F.coalesce(*of_length)).alias("w")).select("item_id", "w.n", "w.fp", "w.said"), lengths
+
+
+def bitmap(entries: DataFrame, n: int) -> DataFrame:
+    """One row: an array of 64-bit numbers with a bit for each of n 64-bit entries (fp), some of which may share one."""
+    size = min(MOST_WORDS, 1 << max(10, (n * BITS_EACH // 64).bit_length()))
+    place = F.col("fp").bitwiseAND(F.lit(64 * size - 1))
+    some = entries.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits"))
+    every = entries.sparkSession.range(size).join(some, "id", "left")
+    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bitmap")).first()
+    return entries.sparkSession.createDataFrame([(row["bitmap"],)], "bitmap array<bigint>")
+
 
+def has_bit(entry: Column) -> Column:
+    """Is the entry's bit set in column ``bitmap``."""
+    word = F.shiftright(entry, 6).bitwiseAND((F.size("bitmap") - 1).cast("long")).cast("int")
+    return F.getbit(F.get("bitmap", word), entry.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def bitmap(windows: DataFrame) -> DataFrame:
-    """One row: an array of BITMAP numbers in which bit fp modulo 64 * BITMAP is set for each fingerprint."""
-    bit = F.pmod("fp", F.lit(64 * BITMAP))
-    some = windows.groupBy(F.floor(bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(fp, {64 * BITMAP}), 64) as int))")).alias("bits"))
-    every = windows.sparkSession.range(BITMAP).join(some, "id", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bitmap"))
+
+def postings(n: int) -> Column:
+    """For windows of n words: n, i (the first of the posting's windows), fp, and the words of it and of those up to the next multiple of POSTING."""
+    fp = lambda i: F.get(f"fp_{n}", i)
+    heads = F.filter(places(n), lambda i: has_bit(fp(i)) & ((i % POSTING == 0) | (fp(i) != fp(i - 1))))
+    return F.transform(heads, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), fp(i).alias("fp"), F.slice("words", i + 1, F.lit(n + POSTING - 1) - i % POSTING).alias("said")))
+
+
+KEYS = ["doc_id", "text_hash"]
 
 
 def window_hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, windows). hits: doc_id, text_hash, n_words and, for each window hit, i (its first word), n, window; a document without hits has one row of nulls. windows: item_id, window."""
+    """(docs, hits). docs: doc_id, text_hash, n_words. hits: doc_id, text_hash, i (the first word of a window hit), n, said."""
     windows, lengths = benchmark_windows(benchmark)
-    key = F.md5(F.concat_ws(" ", F.col("n"), F.col("said")))
-    distinct = windows.select("n", "fp", "said").distinct().withColumn("window", key)
+    windows = stored(windows, "benchmark-windows")
+    prints = windows.select("n", "fp").distinct()
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    docs = fingerprints(docs, lengths).withColumn("bitmap", bitmap(windows).scalar())
-
-    def maybe(n: int) -> Column:
-        bit = lambda i: F.pmod(F.get(f"fp_{n}", i), F.lit(64 * BITMAP))
-        return F.filter(places(n), lambda i: F.getbit(F.get("bitmap", F.shiftright(bit(i), 6).cast("int")), F.pmod(bit(i), F.lit(64)).cast("int")) == 1)
-
-    docs = docs.select("doc_id", "text_hash", "words", *(f"fp_{n}" for n in lengths), *(maybe(n).alias(f"at_{n}") for n in lengths))
-    found = docs.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.concat(*(at_places(n, F.col(f"at_{n}")) for n in lengths)).alias("found"))
-    each = found.select("doc_id", "text_hash", "n_words", F.explode_outer("found").alias("w"))
-    # Documents without such a window keep a row, under a key that no window has and that none share.
-    each = each.select("doc_id", "text_hash", "n_words", F.coalesce("w.n", F.lit(0)).alias("n"), F.col("w.i").alias("i"), F.coalesce("w.fp", "text_hash").alias("fp"), F.coalesce("w.said", F.lit("")).alias("said"))
-    hits = each.join(distinct, ["n", "fp", "said"], "left").select("doc_id", "text_hash", "n_words", "i", "n", "window")
-    return hits, windows.select("item_id", key.alias("window")).distinct()
+    docs = fingerprints(docs, lengths).withColumn("bitmap", bitmap(windows, windows.count()).scalar())
+    docs = stored(docs.select(*KEYS, F.size("words").alias("n_words"), F.concat(*(postings(n) for n in lengths)).alias("postings")), "postings")
+    some = docs.filter(F.size("postings") > 0).select(*KEYS, F.explode("postings").alias("p")).select(*KEYS, "p.*")
+    same = some.join(prints, ["n", "fp"], "left_semi")
+    each = same.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("said") - F.col("n"))))
+    each = each.select(*KEYS, (F.col("i") + F.col("k")).alias("i"), "n", F.array_join(F.slice("said", F.col("k") + 1, F.col("n")), " ").alias("said"))
+    return docs.drop("postings"), each.join(windows.select("item_id", "n", "said").distinct(), ["n", "said"]).select(*KEYS, "i", "n", "item_id")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    hits, windows = window_hits(documents, benchmark)
-    hits = stored(hits, "window-hits")
-    keys = ["doc_id", "text_hash"]
+    docs, hits = window_hits(documents, benchmark)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     grown = lambda have, x: F.struct(F.greatest(have["end"], x["i"] + x["n"]).alias("end"), (have["n"] + F.greatest(x["i"] + x["n"] - F.greatest(have["end"], x["i"]), F.lit(0))).alias("n"))
-    spans = F.array_sort(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("i", "n"))))
-    docs = hits.groupBy(*keys).agg(F.max("n_words").alias("n_words"), spans.alias("spans"))
-    docs = docs.select(*keys, F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", start, grown, lambda x: x["n"]).cast("long").alias("n_hit"))
-    named = hits.filter(F.col("window").isNotNull()).select(*keys, "window").distinct().join(windows, "window").select(*keys, "item_id").distinct()
-    items = named.groupBy(*keys).agg(F.sort_array(F.collect_list("item_id")).alias("items")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "items")
-    docs = docs.join(items, docs["doc_id"].eqNullSafe(items["d"]) & (docs["text_hash"] == items["t"]), "left")
-    return docs.select(
-        *keys,
+    rows = docs.unionByName(hits, allowMissingColumns=True)
+    spans = F.array_sort(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("i", "n")))).alias("spans")
+    found = rows.groupBy(*KEYS).agg(F.max("n_words").cast("long").alias("n_words"), spans, F.sort_array(F.collect_set("item_id")).alias("items"))
+    found = found.withColumn("n_hit", F.aggregate("spans", start, grown, lambda x: x["n"]).cast("long"))
+    return found.select(
+        *KEYS,
         "n_words",
         "n_hit",
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
