@@ -18,12 +18,15 @@ the texts; ``score`` is the log10 of the product of the texts' byte probabilitie
 and ``bits_per_byte`` follows from it.
 
 The counts are a distributed table that grows with the corpus. Chunks of texts, held
-out or not, send each of their distinct six-byte strings, with its count in training
-texts, to the block of the three bytes before its last: a block so has all counts of
-the orders from 3 on of its strings. Those of lower orders are at most 2**24, one for
-each three bytes that occur, and go to all. A block works out the probability of each
-of its strings once and sends it back to the chunks that asked. The strings with the
-same three bytes before their last are in one block.
+out or not, list their distinct six-byte strings with their counts in training texts;
+the counts of a string are added up (combined before the shuffle), so that a common
+string is one row. Strings with the same three bytes before their last are in one
+block, which so has all counts of the orders from 3 on of its strings. Those of lower
+orders are at most 2**24, one for each three bytes that occur, and go to all. A block
+works out the probability of each of its strings once, and a join brings them back to
+the chunks' lists. The number of chunks, the blocks and shards, and the order in which
+a shard learns follow from the texts alone: scores don't depend on how tables and
+shuffles are partitioned (but for rounding in the last places of sums).
 
 Null texts are empty: an end token, a score of 0. Null ids are trained on. Without
 training texts all counts are 0. Repeated rows are scored alike and count as often
@@ -39,16 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Table, chunks_for, crc_of_id, flat, mix, slices, stored
+from spindrift.llm.common import Table, crc_of_id, flat, mix, slices, stored, text_bytes
 from spindrift.llm.near_dedup import word_hashes
 
-CHUNK = 8 << 20
+#: Bytes of texts in a chunk, about, and the least number of chunks.
+CHUNK, CHUNKS = 8 << 20, 16
 ORDERS = 6
 SLOT_BITS = 19
 #: The least order whose contexts are dealt into blocks.
 DEALT = 3
-#: Rows of a block, if its contexts can be parted.
-BLOCK = 1 << 17
+#: Strings of a block, about; blocks of a shard; the least number of shards.
+BLOCK, SHARD_BLOCKS, SHARDS = 1 << 14, 16, 16
 GATES = (ORDERS + 1) * 8
 MAP_CONTEXTS, MAP_LEVELS = 256, 24
 END_TOKEN = 1
@@ -120,14 +124,13 @@ def chunk_scores(docs: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
 
-def base_scores(docs: DataFrame) -> DataFrame:
-    """BASE rows for docs (doc_id, text_hash, held_out, text), with N and V as shares in rows of their own."""
-    n = chunks_for(docs, CHUNK)
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int"))
+def base_scores(docs: DataFrame, n: int) -> DataFrame:
+    """BASE rows for docs (chunk, doc_id, text_hash, held_out, text) in n chunks, with N and V as shares in rows of their own."""
+    docs = docs.select("chunk", "doc_id", "text_hash", "held_out", "text").repartition(n, "chunk")
     words = docs.groupBy("chunk").applyInArrow(chunk_words, "chunk int, word long, n long")
     by_word = Window.partitionBy("word")
     once = (F.row_number().over(by_word.orderBy("chunk")) == 1).cast("long")
-    counts = words.select("chunk", "word", (2 * F.sum("n").over(by_word) + once).alias("c2"))
+    counts = words.select("chunk", "word", (2 * F.sum("n").over(by_word) + once).alias("c2")).repartition(n, "chunk")
     return docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(chunk_scores, BASE)
 
 
@@ -172,54 +175,65 @@ def chunk_grams(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(np.full(len(g), chunk), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
-def gram_blocks(docs: DataFrame) -> DataFrame:
-    """gram, chunk, n: lists, a row a block, of docs (chunk, held_out, text); all that share the DEALT bytes before the last are in one block."""
-    grams = docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(chunk_grams, "chunk int, gram long, n long")
-    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
-    grams = grams.select(F.xxhash64(context).alias("at"), "gram", "chunk", "n").repartition("at").sortWithinPartitions("at", "gram")
+def gram_lists(docs: DataFrame, n: int) -> DataFrame:
+    """chunk, gram, n: the distinct grams of each of the n chunks of docs (chunk, held_out, text)."""
+    return docs.select("chunk", "held_out", "text").repartition(n, "chunk").groupBy("chunk").applyInArrow(chunk_grams, "chunk int, gram long, n long")
+
+
+BLOCKS = "shard int, gram array<long>, n array<long>"
+
+
+def gram_blocks(totals: DataFrame) -> DataFrame:
+    """BLOCKS rows, shards in order, of totals (gram, n); grams that share the DEALT bytes before the last are in one block."""
+    size = totals.count()
+    shards = max(SHARDS, -(-size // (BLOCK * SHARD_BLOCKS)))
+    context = F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1)))
+    shard = F.pmod(context, F.lit(shards)).cast("int").alias("shard")
+    block = F.pmod(F.shiftright(context, 32), F.lit(max(1, min(SHARD_BLOCKS, -(-size // (BLOCK * shards)))))).cast("int").alias("block")
+    rows = totals.select(shard, block, "gram", "n").repartition(shards, "shard").sortWithinPartitions("shard", "block", "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(rows: list[np.ndarray]) -> pa.RecordBatch:
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in rows[1:]]
-            return pa.RecordBatch.from_arrays(lists, names=["gram", "chunk", "n"])
+        held: list[list[np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            shard, _, gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in (gram, n)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[:1], pa.int32()), *lists], names=["shard", "gram", "n"])
 
-        held, have, enough = [], 0, BLOCK
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(4)])
-            have += batch.num_rows
-            if have >= enough:
-                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
-                if len(cuts):
-                    yield block([c[: cuts[-1]] for c in rows])
-                    rows = [c[cuts[-1] :] for c in rows]
-                held, have = [rows], len(rows[0])
-                enough = max(BLOCK, 2 * have)
-        if have:
-            yield block([np.concatenate(c) for c in zip(*held, strict=True)])
-
-    return grams.mapInArrow(run, "gram array<long>, chunk array<int>, n array<long>")
-
-
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block: its distinct grams, their counts, the place of each row's gram in them, and each row's chunk."""
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                part = [c[a:b] for c in rows]
+                if held and len(part[0]) and (held[-1][0][0] != part[0][0] or held[-1][1][0] != part[1][0]):
+                    yield told()
+                    held = []
+                if len(part[0]):
+                    held.append(part)
+        if held:
+            yield told()
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each block: its shard, its distinct grams in order, and their counts."""
     for batch in batches:
         for i in range(batch.num_rows):
-            gram, chunk, n = (batch.column(k)[i].values.to_numpy() for k in range(3))
-            every, back = np.unique(gram.astype(np.uint64), return_inverse=True)
-            yield every, np.bincount(back, n, len(every)), back, chunk
+            gram, n = (batch.column(k)[i].values.to_numpy() for k in (1, 2))
+            yield batch.column(0)[i].as_py(), gram.astype(np.uint64), n.astype(np.float64)
 
 
 def low_orders(blocks: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order below DEALT the sorted pairs of context and byte, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, n, _, _ in blocks_of(batches):
+        for _, gram, n in blocks_of(batches):
             pair, back = np.unique(gram & np.uint64((1 << 8 * DEALT) - 1), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(np.bincount(back, n, len(pair)).astype(np.int64))], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(np.bincount(back, n, len(pair)).astype(np.int64))], names=["pair", "n"])
 
     # At most 2**24 rows, whatever the input's size.
-    found = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, n = found.column("pair").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     out = []
     for order in range(DEALT):
@@ -314,21 +328,21 @@ class Mixer:
                 weight = np.sqrt(n[at])
                 x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
                 error = (y - 1 / (1 + np.exp(-self.mixed(x, gate)))) * weight
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate, error[:, None] * x)
+                step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(ORDERS + 1)], axis=1)
                 total = np.bincount(gate, weight, GATES)
                 self.weights += rate * step / np.maximum(total, 1)[:, None]
 
     def map_counts(self, gram: np.ndarray, n: np.ndarray, counts: Counts, block: int = 8192) -> np.ndarray:
-        out = np.zeros((MAP_CONTEXTS * MAP_LEVELS, 2))
+        size = MAP_CONTEXTS * MAP_LEVELS
+        out = np.zeros(2 * size)
         train = np.flatnonzero(n)
         for bit in range(8):
             found = counts.of(bit)
             for i in range(0, len(train), block):
                 at = train[i : i + block]
                 x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
-                np.add.at(out, (self.cell(gram[at], bit, self.mixed(x, gate)), y), n[at])
-        return out
+                out += np.bincount(2 * self.cell(gram[at], bit, self.mixed(x, gate)) + y, n[at], 2 * size)
+        return out.reshape(size, 2)
 
     def log10(self, gram: np.ndarray, counts: Counts | None = None, block: int = 8192) -> np.ndarray:
         """log10 probability of each gram's last byte after its others."""
@@ -353,13 +367,17 @@ def train(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
     mixer, sent = Mixer(), context.broadcast(low)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer()
-        total = 0.0
-        for gram, n, _, _ in blocks_of(batches):
+        told = lambda own, total: pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.ravel().tolist()])], names=["total", "weights"])
+        own, total, now = Mixer(), 0.0, None
+        for shard, gram, n in blocks_of(batches):
+            if shard != now:
+                if total:
+                    yield told(own, total)
+                own, total, now = Mixer(), 0.0, shard
             own.learn(gram, n, Counts(gram, n, sent.value))
             total += float(np.sqrt(n).sum())
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.ravel().tolist()])], names=["total", "weights"])
+            yield told(own, total)
 
     sums = [F.sum(F.col("total") * F.col("weights")[i]) for i in range(mixer.weights.size)]
     row = blocks.mapInArrow(learn, "total double, weights array<double>").agg(F.sum("total"), F.array(*sums)).first()
@@ -369,7 +387,7 @@ def train(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
 
         def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(weighted.value.map)
-            for gram, n, _, _ in blocks_of(batches):
+            for _, gram, n in blocks_of(batches):
                 out += weighted.value.map_counts(gram, n, Counts(gram, n, sent.value))
             used = np.flatnonzero(out.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used, 0]), pa.array(out[used, 1])], names=["cell", "n0", "n1"])
@@ -433,35 +451,40 @@ def chunk_sums(docs: pa.Table, grams: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "text_hash") else pa.float64()) for k, v in out.items()})
 
 
-def score(docs: DataFrame, blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer) -> DataFrame:
-    """SCORES rows of docs (chunk, doc_id, text_hash, text), whose grams the blocks have."""
+def score(docs: DataFrame, lists: DataFrame, blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer, n: int) -> DataFrame:
+    """SCORES rows of docs (chunk, doc_id, text_hash, text) in n chunks, whose grams the lists and blocks have."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((low, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, mixer = sent.value
-        for gram, n, back, chunk in blocks_of(batches):
-            log = mixer.log10(gram, Counts(gram, n, low))
-            rows = pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(gram.astype(np.int64)[back]), pa.array(log[back])], names=["chunk", "gram", "log"])
-            for i in range(0, rows.num_rows, BLOCK):
-                yield rows.slice(i, BLOCK)
-
-    answers = blocks.mapInArrow(run, "chunk int, gram long, log double")
-    docs = docs.select("chunk", "doc_id", "text_hash", "text")
+        for _, gram, count in blocks_of(batches):
+            log = mixer.log10(gram, Counts(gram, count, low))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(log)], names=["gram", "log"])
+
+    logs = stored(blocks.mapInArrow(run, "gram long, log double"), "logs")
+    answers = lists.select("chunk", "gram").join(logs.hint("shuffle_hash"), "gram").select("chunk", "gram", "log").repartition(n, "chunk")
+    docs = docs.select("chunk", "doc_id", "text_hash", "text").repartition(n, "chunk")
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(chunk_sums, SCORES)
 
 
+def dealt(documents: DataFrame) -> tuple[DataFrame, int]:
+    """chunk, doc_id, text_hash, held_out, text for each row of documents, and the number of chunks."""
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out")
+    docs = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    n = max(CHUNKS, -(-text_bytes(docs) // CHUNK))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int")), n
+
+
 def digests(documents: DataFrame) -> DataFrame:
     """Base and model scores of all documents; the model learns from those that aren't held out."""
-    held = F.coalesce(crc_of_id(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out")
-    docs = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text"))
-    n = chunks_for(docs, CHUNK)
-    dealt = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int"))
-    blocks = stored(gram_blocks(dealt), "grams", compression="zstd")
+    docs, n = dealt(documents)
+    lists = stored(gram_lists(docs, n), "grams", compression="zstd")
+    blocks = stored(gram_blocks(stored(lists.groupBy("gram").agg(F.sum("n").alias("n")), "totals", compression="zstd")), "blocks", compression="zstd")
     low = low_orders(blocks)
-    scored = stored(score(dealt, blocks, low, train(blocks, low)), "scores")
+    scored = stored(score(docs, lists, blocks, low, train(blocks, low), n), "scores")
     scored = scored.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.first("score").alias("score"), F.first("bits_per_byte").alias("bits_per_byte"))
-    base = stored(base_scores(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "held_out", "text")), "base")
+    base = stored(base_scores(docs, n), "base")
     total = base.filter("known_words is not null").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.coalesce(F.sum("known_words"), F.lit(0)).alias("v")).first()
     rows = base.filter("known_words is null")
     rows = rows.join(scored, rows["doc_id"].eqNullSafe(scored["d"]) & (rows["text_hash"] == scored["t"]))
