@@ -11,8 +11,8 @@ skipped, and a pair that only one node has is not looked at.
 Lists are resolved without pairing all their members. Each is compared with a
 pivot, its least id. Distances (1 - similarity) are a metric, so members within LINK
 of the pivot are in one component, and one that is farther than twice LINK from the
-pivot links to none of those. What is left is compared in blocks of at most
-``BLOCK`` by ``BLOCK`` members: members that the pivot isn't linked to among
+pivot links to none of those. What is left is compared in blocks of about ``BLOCK``
+by ``BLOCK`` members with ``BLOCK_SHINGLES`` shingles on a side: members that the pivot isn't linked to among
 themselves, and those within twice LINK of the pivot with those that it is linked
 to. In a block, coincidences of the signatures are counted first, and pairs with
 MATCHES or more in different components are compared on whole sets; a block returns
@@ -40,7 +40,8 @@ from spindrift.llm.common import flat, mix, slices, span_hash, stored
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
 FAR = 1 - LINK_OF_100 / 100
-BLOCK = 1024
+#: Members of a block's side, and shingles of their sets, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _SPACE = np.zeros(256, bool)
@@ -242,25 +243,26 @@ def links(documents: DataFrame, nodes: DataFrame) -> DataFrame | None:
     known = connected(found.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     component = F.coalesce("component", "id").alias("component")
     told = lists.filter("id <> pivot").join(found, ["pivot", "id"], "left").join(known, "id", "left")
-    told = stored(told.select("key", "pivot", "id", component, F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("d", F.lit(1.0)).alias("d")), "told")
-    block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    told = stored(told.select("key", "pivot", "id", "n", component, F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("d", F.lit(1.0)).alias("d")), "told")
+    block = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
 
     # Members that their list's pivot isn't linked to, list by list; lists of the same members are one.
     rest = told.filter("not linked")
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    sizes = sizes.filter("n > 1 and low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    among = rest.join(sizes.select("key", block("n").alias("blocks")), "key")
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    sizes = sizes.filter("n > 1 and low <> high").groupBy("n", "size", "x", "y").agg(F.min("key").alias("key"))
+    among = rest.join(sizes.select("key", block("n", "size").alias("blocks")), "key")
     among = among.withColumn("own", part("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     among = among.select(F.col("key").alias("g"), i.alias("i"), j.alias("j"), F.when(i == j, 2).when(F.col("own") == i, 0).otherwise(1).alias("side"), "id", "component")
 
     # Members that a pivot is linked to, against those near it that are in another component, pivot by pivot.
-    pairs = told.select("pivot", "id", "component", "linked", "d").distinct()
+    pairs = told.select("pivot", "id", "n", "component", "linked", "d").distinct()
     home = known.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
     pairs = pairs.join(home, "pivot").filter(F.col("linked") | ((F.col("d") <= 2 * FAR + 1e-9) & (F.col("component") != F.col("home"))))
-    both = pairs.groupBy("pivot").agg(F.sum(F.col("linked").cast("int")).alias("n"), F.sum((~F.col("linked")).cast("int")).alias("m")).filter("n > 0 and m > 0")
-    across = pairs.join(both.select("pivot", block("n").alias("n"), block("m").alias("m")), "pivot")
+    counted = [F.sum(F.when(x, y)).alias(name) for x, a, b in ((F.col("linked"), "n", "n_size"), (~F.col("linked"), "m", "m_size")) for y, name in ((F.lit(1), a), (F.col("n"), b))]
+    both = pairs.groupBy("pivot").agg(*counted).filter("n > 0 and m > 0")
+    across = pairs.drop("n").join(both.select("pivot", block("n", "n_size").alias("n"), block("m", "m_size").alias("m")), "pivot")
     across = across.withColumn("i", F.explode(F.when(F.col("linked"), F.array(part("n"))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
     across = across.withColumn("j", F.explode(F.when(F.col("linked"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(part("m")))))
     across = across.select((-1 - F.col("pivot")).alias("g"), "i", "j", F.when(F.col("linked"), 0).otherwise(1).alias("side"), "id", "component")

@@ -6,9 +6,10 @@ hash of its ``GRAM``-byte strings, so equal windows have equal triggers at equal
 places. Neighbouring windows with one trigger form a phrase, which reaches over
 all their bytes: a text is parsed to overlapping phrases.
 
-Dictionary: equal phrases meet under their trigger, in corpus order; every later
-occurrence repeats the first as a whole, which settles nearly all of a repetitive
-corpus at one row a phrase. Only phrases that share a trigger with a different
+Dictionary: of the equal phrases of a slice of texts, all but the first in corpus order
+are settled at once, so that a passage of many texts is one row a slice. The others
+meet under their trigger, in corpus order; every later occurrence repeats the first as
+a whole, which settles nearly all of a repetitive corpus at one row a phrase. Only phrases that share a trigger with a different
 phrase can share some windows without sharing all. The first occurrences of those
 meet under their trigger, some triggers at a time: a suffix array of this part of
 the dictionary, cut at SPAN bytes, gives runs of equal suffixes, and the order of
@@ -78,13 +79,22 @@ PHRASES = "trigger long, phrase long, doc long, windows long"
 
 
 def phrases(df: DataFrame) -> DataFrame:
-    """PHRASES of df (doc, text); windows: first << 32 | last."""
+    """PHRASES of df (doc, text); windows: first << 32 | last. trigger and phrase are null for one that repeats an earlier one of its slice; one of equal rows stands for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             docs = part.column(0).to_numpy(zero_copy_only=False)
-            for trigger, phrase, of, a, b in parse(*flat(part.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(phrase), pa.array(docs[of], pa.int64()), pa.array(a << 32 | b)], names=["trigger", "phrase", "doc", "windows"])
+            found = [(trigger, phrase, docs[of], a << 32 | b) for trigger, phrase, of, a, b in parse(*flat(part.column(1)))]
+            if not found:
+                continue
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+            trigger, phrase, doc, windows = (c[order] for c in columns)
+            same = np.append(False, (trigger[1:] == trigger[:-1]) & (phrase[1:] == phrase[:-1]))
+            equal = same & np.append(False, (doc[1:] == doc[:-1]) & (windows[1:] == windows[:-1]))
+            keep = ~equal
+            later = same[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(trigger[keep], mask=later), pa.array(phrase[keep], mask=later), pa.array(doc[keep], pa.int64()), pa.array(windows[keep])], names=["trigger", "phrase", "doc", "windows"])
 
     return df.mapInArrow(run, PHRASES)
 
@@ -94,10 +104,14 @@ FOUND = "doc long, windows long, trigger long"
 
 
 def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From PHRASES in order: those that repeat an earlier phrase, and first occurrences that share a trigger with another phrase."""
+    """From PHRASES in order, nulls first: those that repeat an earlier phrase, and first occurrences that share a trigger with another phrase."""
     tail: tuple[np.ndarray, ...] | None = None
     told = False
     for batch in batches:
+        settled = batch.column(0).null_count
+        if settled:
+            yield pa.RecordBatch.from_arrays([batch.column(2)[:settled], batch.column(3)[:settled], pa.nulls(settled, pa.int64())], names=["doc", "windows", "trigger"])
+            batch = batch.slice(settled)
         columns = [batch.column(i).to_numpy() for i in range(4)]
         if not len(columns[0]):
             continue
@@ -249,7 +263,7 @@ def repeated_windows(df: DataFrame) -> DataFrame:
     """doc, windows: all repeated windows of df (doc, text) as ranges first << 32 | last, which may overlap."""
     # A partition for about 4 MB of files: some 25 rows of 40 bytes for each KB of text.
     n = chunks_for(df, 4 << 20)
-    ordered = phrases(df).repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "doc", "windows")
+    ordered = phrases(df).repartition(n, F.coalesce("trigger", F.xxhash64("doc", "windows"))).sortWithinPartitions("trigger", "phrase", "doc", "windows")
     found = stored(ordered.mapInArrow(later, FOUND), "phrases")
     unsure = found.filter("trigger is not null")
     crowds = unsure.groupBy("trigger").agg((F.count(F.lit(1)) > CROWD).alias("crowd"))
