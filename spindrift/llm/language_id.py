@@ -2,12 +2,16 @@
 
 Every run of 3 and of 4 bytes (A-Z lower-cased, other ASCII that isn't a letter
 read as a space) is hashed to one of ``BUCKETS`` embeddings. A text is the mean
-of its embeddings; a linear softmax gives the languages. Embeddings and weights
+of its embeddings; a linear softmax gives the languages, and besides them ``NOISE``:
+what a drawn text becomes when its characters are shuffled. Embeddings and weights
 are trained by stochastic gradient descent in numpy on at most about ``rows``
-labelled documents (a documented bound; drawn evenly by language by a hash of the
-id). A fifth of them is held back: it sets the temperature of the softmax and the
-score under which a prediction is rejected (the least scores of ``lost`` of the
-documents that were predicted rightly, one half at most).
+labelled documents (a documented bound; drawn evenly by language by a hash of id and
+text, one of equal rows) and one shuffled text for every ``EVERY`` of them. A fifth
+is held back: it sets the temperature of the softmax (on smoothed targets, so that it
+is finite) and the score under which a prediction is rejected: half-way between the
+scores of shuffled texts and those of all but ``lost`` of the documents that are
+predicted rightly, or the latter if they overlap. The score is the share of the best
+language in a softmax that noise takes part in.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text if there are no labels. Very long texts count whole. Repeated rows get
@@ -29,7 +33,8 @@ from spindrift.llm.common import crc_of_id, flat, slices
 
 BUCKETS_BITS = 16
 WIDTHS = (3, 4)
-UNKNOWN = "und"
+UNKNOWN, NOISE = "und", ""
+EVERY = 4
 _LOWER = np.full(256, 0x20, np.uint8)
 _LOWER[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LOWER[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -76,8 +81,9 @@ class Model:
     least: float = 0.0
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The share of each language; noise, which is the last class of all, has the rest."""
         total, count = sums(self.table, data, offsets)
-        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)[:, : len(self.languages)]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -86,15 +92,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(found: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epochs: int = 8, rate: float = 2.0, lost: float = 0.002, seed: int = 7) -> Model | None:
-    """Fits a model to (language, buckets, shares of the text's runs)."""
-    names = sorted({x[0] for x in found})
+    """Fits a model to (language or NOISE, buckets, shares of the text's runs)."""
+    names = sorted({x[0] for x in found} - {NOISE})
     if not names:
         return None
+    classes = [*names, NOISE]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(found))
     back = order[: len(found) // 5]
     fit = order[len(found) // 5 :]
-    k = len(names)
+    k = len(classes)
     embed = (rng.random((1 << BUCKETS_BITS, dim), np.float32) - 0.5) / dim
     weight, bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     step, steps = 0, epochs * len(fit)
@@ -105,7 +112,7 @@ def train(found: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epo
             step += 1
             x = share @ embed[at]
             g = softmax(x @ weight + bias)
-            g[names.index(name)] -= 1
+            g[classes.index(name)] -= 1
             down = weight @ g
             weight -= now * np.outer(x, g)
             bias -= now * 0.01 * g
@@ -113,12 +120,18 @@ def train(found: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epo
     model = Model(names, embed @ weight, bias)
     if len(back) >= 5:
         z = np.stack([found[i][2] @ model.table[found[i][1]] + bias for i in back])
-        y = np.array([names.index(found[i][0]) for i in back])
-        model.temperature = min(np.geomspace(0.25, 16, 49), key=lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).sum()).item()
-        p = softmax(z / model.temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-        # A score of a half or more is never rejected: few held-back documents don't tell so small a share.
-        model.least = min(0.5, float(right[int(lost * len(right))])) if len(right) else 0.0
+        y = np.array([classes.index(found[i][0]) for i in back])
+        target = np.full(z.shape, 1 / (len(back) + 2) / (k - 1))
+        target[np.arange(len(y)), y] = 1 - 1 / (len(back) + 2)
+        model.temperature = min(np.geomspace(0.005, 50, 185), key=lambda t: -(target * np.log(np.maximum(softmax(z / t), 1e-30))).sum()).item()
+        p = softmax(z / model.temperature)[:, :-1]
+        known = y < len(names)
+        right = np.sort(p.max(axis=1)[known & (p.argmax(axis=1) == y)])
+        if len(right):
+            model.least = float(right[int(lost * len(right))])
+            noise = np.sort(p.max(axis=1)[~known])
+            if len(noise):
+                model.least = min(model.least, (model.least + float(noise[-1 - int(0.01 * len(noise))])) / 2)
     return model
 
 
@@ -128,27 +141,40 @@ def fit(labelled: DataFrame, *, rows: int = 4000, **options: float) -> Model | N
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    # A hash of the id in 0..2**31-1 under a language's share of it; so no row moves but those drawn.
+    # A hash of id and text in 0..2**31-1 under a language's share of it; so no row moves but those drawn, and of equal rows one.
     share: Column = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1 << 31, int((1 << 31) * rows / len(counts) / n))).otherwise(share)
-    drawn = usable.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(10)), F.lit(1 << 31)) < share)
+    drawn = usable.select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text"), F.lit(10)).alias("h"))
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 31)) < share).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            data, offsets = flat(part.column(1))
             out = []
-            for i in range(part.num_rows):
-                h = np.concatenate(features(data[offsets[i] : offsets[i + 1]]))
-                at, n = np.unique(h, return_counts=True)
-                out.append((at.astype("<u4").tobytes(), (n / max(1, len(h))).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "at", "share"])
+            for lang, text, h in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                out.append((lang, *counted(text)))
+                if h % EVERY == 0:
+                    out.append((NOISE, *counted(shuffled(text, h))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["lang", "at", "share"])
 
-    sample = drawn.select("lang", "text").mapInArrow(run, "lang string, at binary, share binary").collect()
+    sample = drawn.mapInArrow(run, "lang string, at binary, share binary").collect()
     found = sorted((r["lang"], bytes(r["at"]), bytes(r["share"])) for r in sample if r["at"])
     return train([(a, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f4")) for a, b, c in found], **options)
 
 
+def counted(text: str) -> tuple[bytes, bytes]:
+    """A text's buckets and their shares of its runs, as bytes."""
+    h = np.concatenate(features(np.frombuffer(text.encode(), np.uint8)))
+    at, n = np.unique(h, return_counts=True)
+    return at.astype("<u4").tobytes(), (n / max(1, len(h))).astype("<f4").tobytes()
+
+
+def shuffled(text: str, seed: int) -> str:
+    """The text's characters in another order."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.random.default_rng(seed & 0xFFFFFFFF).permutation(points.copy()).tobytes().decode("utf-32-le")
+
+
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """df with lang_pred, score and rejected (columns of those names are replaced)."""
     df = df.drop("lang_pred", "score", "rejected")
