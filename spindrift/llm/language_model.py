@@ -1,10 +1,14 @@
 """Operator 4: scores of texts by a word table (base) and by logistic context mixing.
 
-Base: words and one end token a text, with counts over all training texts. Texts
-are dealt into chunks by a hash; a chunk asks for each of its distinct words once,
-a window over the word sums the counts, and the answers go back to the chunk. A
-common word so has a row a chunk, not a row an occurrence, and no table of all
-words is ever in one place. Words are told apart by 64-bit hashes.
+Both need the counts of the corpus's keys: words (64-bit hashes), and strings of six
+bytes. Texts are dealt into chunks by a hash; a chunk lists each of its distinct keys
+once, with its count in training texts, packed into a row for each part that the keys
+are dealt into by a hash. A part adds the lists up, as a stream, to the corpus's
+counts of its keys, works out what is to be known of each, and answers each list with
+a list of the same length. So no row stands for one key, and no table of all keys is
+ever in one place.
+
+Base: words and one end token a text, with counts over all training texts.
 
 Model: a byte is eight binary decisions. For each, the orders 0 to 5 (so many bytes
 before it) look up counts of zeros and ones after exactly these bytes over all
@@ -17,16 +21,13 @@ passes work on counts of distinct six-byte strings, which are the same sums as o
 the texts; ``score`` is the log10 of the product of the texts' byte probabilities,
 and ``bits_per_byte`` follows from it.
 
-The counts are a distributed table that grows with the corpus. Chunks of texts, held
-out or not, list their distinct six-byte strings with their counts in training texts;
-the counts of a string are added up (combined before the shuffle), so that a common
-string is one row. Strings with the same three bytes before their last are in one
-block, which so has all counts of the orders from 3 on of its strings. Those of lower
-orders are at most 2**24, one for each three bytes that occur, and go to all. A block
-works out the probability of each of its strings once, and a join brings them back to
-the chunks' lists. The number of chunks, the blocks and shards, and the order in which
-a shard learns follow from the texts alone: scores don't depend on how tables and
-shuffles are partitioned (but for rounding in the last places of sums).
+The counts are a distributed table that grows with the corpus. Strings with the same
+three bytes before their last are in one part, which so has all counts of the orders
+from 3 on of its strings. Those of lower orders are at most 2**24, one for each three
+bytes that occur, and go to all. Each part is a shard of the training. The number of
+chunks and parts, and the order in which a part learns, follow from the texts alone:
+scores don't depend on how tables and shuffles are partitioned (but for rounding in
+the last places of sums).
 
 Null texts are empty: an end token, a score of 0. Null ids are trained on. Without
 training texts all counts are 0. Repeated rows are scored alike and count as often
@@ -39,102 +40,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Table, crc_of_id, flat, mix, slices, stored, text_bytes
+from spindrift.llm.common import Table, crc_of_id, flat, forget, mix, slices, stored, text_bytes
 from spindrift.llm.near_dedup import word_hashes
 
 #: Bytes of texts in a chunk, about, and the least number of chunks.
 CHUNK, CHUNKS = 8 << 20, 16
+#: Parts at most; there are as many as chunks otherwise.
+PARTS = 1 << 12
+GRAM, WORD = 0, 1
 ORDERS = 6
 SLOT_BITS = 19
-#: The least order whose contexts are dealt into blocks.
+#: The least order whose contexts are dealt into parts.
 DEALT = 3
-#: Strings of a block, about; blocks of a shard; the least number of shards.
-BLOCK, SHARD_BLOCKS, SHARDS = 1 << 14, 16, 16
+#: Strings that are worked on together, if contexts end there.
+BLOCK = 1 << 17
 GATES = (ORDERS + 1) * 8
 MAP_CONTEXTS, MAP_LEVELS = 256, 24
 END_TOKEN = 1
 
 
-# ---- base
-
-
-def chunk_words(table: pa.Table) -> pa.Table:
-    """chunk, word, n: the distinct words of a chunk and how often its training texts have them."""
-    words, counts, have = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        every, back = np.unique(np.concatenate(words), return_inverse=True)
-        return every, np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
-
-    for part in slices(iter(table.combine_chunks().to_batches())):
-        names = part.schema.names
-        h, at = word_hashes(*flat(part.column(names.index("text"))))
-        train = ~part.column(names.index("held_out")).to_numpy(zero_copy_only=False)
-        weight = np.repeat(train, np.diff(at)).astype(np.float64)
-        words += [h.view(np.int64), np.array([END_TOKEN])]
-        counts += [weight, np.array([float(train.sum())])]
-        have += len(h)
-        if have > 4 << 20:
-            w, c = merged()
-            words, counts, have = [w], [c.astype(np.float64)], 0
-    w, c = merged() if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"chunk": pa.array(np.full(len(w), table.column("chunk")[0].as_py() if table.num_rows else 0), pa.int32()), "word": pa.array(w), "n": pa.array(c)})
-
-
-BASE = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, logs double, train long, known_words long"
-
-
-def chunk_scores(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    """BASE rows: of each text; logs is the sum of log10(c + 1). One more row (known_words not null) has the chunk's shares of N and V."""
-    word = counts.column("word").to_numpy().view(np.uint64)
-    both = counts.column("c2").to_numpy()
-    c, once = both >> 1, both & 1
-    bits = max(8, int(len(word)).bit_length() + 2)
-    table = Table(bits)
-    spread_words = mix(word) | np.uint64(1)
-    table.add(spread_words, np.arange(len(word), dtype=np.int32))
-    log = np.log10(c + 1.0)
-    end = np.flatnonzero(word == np.uint64(END_TOKEN))
-    end_c = int(c[end[0]]) if len(end) else 0
-    out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "held_out", "n_tokens", "n_known", "logs", "train", "known_words")}
-    train_tokens = 0
-    for part in slices(iter(docs.combine_chunks().to_batches())):
-        names = part.schema.names
-        h, at = word_hashes(*flat(part.column(names.index("text"))))
-        k = table.find(mix(h) | np.uint64(1))
-        logs, known = np.append(0, np.cumsum(log[k])), np.append(0, np.cumsum(c[k] > 0))
-        held = part.column(names.index("held_out")).to_numpy(zero_copy_only=False)
-        n = np.diff(at) + 1
-        train_tokens += int(n[~held].sum())
-        out["doc_id"] += part.column(names.index("doc_id")).to_pylist()
-        out["text_hash"] += part.column(names.index("text_hash")).to_pylist()
-        out["held_out"] += held.tolist()
-        out["n_tokens"] += n.tolist()
-        out["n_known"] += (known[at[1:]] - known[at[:-1]] + (end_c > 0)).tolist()
-        out["logs"] += (logs[at[1:]] - logs[at[:-1]] + np.log10(end_c + 1.0)).tolist()
-    rows = len(out["doc_id"])
-    for k in out:
-        out[k] += [None] * (1 + (rows - len(out[k])) if k not in ("train", "known_words") else rows)
-    out["train"].append(train_tokens)
-    out["known_words"].append(int(((c > 0) & (once == 1)).sum()))
-    kinds = {"held_out": pa.bool_(), "logs": pa.float64()}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
-
-
-def base_scores(docs: DataFrame, n: int) -> DataFrame:
-    """BASE rows for docs (chunk, doc_id, text_hash, held_out, text) in n chunks, with N and V as shares in rows of their own."""
-    docs = docs.select("chunk", "doc_id", "text_hash", "held_out", "text").repartition(n, "chunk")
-    words = docs.groupBy("chunk").applyInArrow(chunk_words, "chunk int, word long, n long")
-    by_word = Window.partitionBy("word")
-    once = (F.row_number().over(by_word.orderBy("chunk")) == 1).cast("long")
-    counts = words.select("chunk", "word", (2 * F.sum("n").over(by_word) + once).alias("c2")).repartition(n, "chunk")
-    return docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(chunk_scores, BASE)
-
-
-# ---- model
+# ---- keys and counts
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -151,89 +79,167 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_grams(table: pa.Table) -> pa.Table:
-    """chunk, gram, n: the distinct grams of a chunk and how often its training texts have them."""
-    grams, counts, have = [np.zeros(0, np.uint64)], [np.zeros(0)], 0
+def turned(gram: np.ndarray) -> np.ndarray:
+    """Grams as keys that sort by the DEALT bytes before the last, then by the bytes before those, then by the last."""
+    last, context, older = gram & np.uint64(0xFF), gram >> np.uint64(8) & np.uint64(0xFFFFFF), gram >> np.uint64(32)
+    return context << np.uint64(24) | older << np.uint64(8) | last
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        every, back = np.unique(np.concatenate(grams), return_inverse=True)
-        return every, np.bincount(back, np.concatenate(counts), len(every))
 
+def unturned(key: np.ndarray) -> np.ndarray:
+    last, context, older = key & np.uint64(0xFF), key >> np.uint64(24), key >> np.uint64(8) & np.uint64(0xFFFF)
+    return older << np.uint64(32) | context << np.uint64(8) | last
+
+
+class Tally:
+    """Distinct keys of a stream, sorted, with sums of their weights."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums, self.have = [np.zeros(0, np.uint64)], [np.zeros(0)], 0
+
+    def add(self, keys: np.ndarray, weights: np.ndarray, distinct: bool = False) -> None:
+        if not distinct:
+            keys, back = np.unique(keys, return_inverse=True)
+            weights = np.bincount(back, weights, len(keys))
+        self.keys.append(keys)
+        self.sums.append(weights)
+        self.have += len(keys)
+        if self.have > max(4 << 20, 2 * len(self.keys[0])):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            every, back = np.unique(np.concatenate(self.keys), return_inverse=True)
+            self.sums = [np.bincount(back, np.concatenate(self.sums), len(every))]
+            self.keys, self.have = [every], 0
+        return self.keys[0], self.sums[0]
+
+
+def pieces(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a chunk's texts: rows, offsets of bytes, keys of grams, where words start, keys of words, and which texts are trained on."""
     for part in slices(iter(table.combine_chunks().to_batches())):
         names = part.schema.names
         data, offsets = flat(part.column(names.index("text")))
+        words, at = word_hashes(data, offsets)
         train = ~part.column(names.index("held_out")).to_numpy(zero_copy_only=False)
-        g, back = np.unique(grams_of(data, offsets), return_inverse=True)
-        grams.append(g)
-        counts.append(np.bincount(back, np.repeat(train, np.diff(offsets)).astype(np.float64), len(g)))
-        have += len(g)
-        if have > 4 << 20:
-            g, n = merged()
-            grams, counts, have = [g], [n], 0
-    g, n = merged()
-    chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-    return pa.table({"chunk": pa.array(np.full(len(g), chunk), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+        yield part, offsets, turned(grams_of(data, offsets)), at, words, train
+
+
+def tallies(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts in training texts) of a chunk's grams and of its words."""
+    grams, words = Tally(), Tally()
+    for _, offsets, g, at, w, train in pieces(table):
+        grams.add(g, np.repeat(train, np.diff(offsets)).astype(np.float64))
+        words.add(np.append(w, np.uint64(END_TOKEN)), np.append(np.repeat(train, np.diff(at)).astype(np.float64), train.sum()))
+    return [grams.merge(), words.merge()]
+
+
+def parted(kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by part, and where each part ends in it."""
+    part = (mix(keys >> np.uint64(24) if kind == GRAM else keys) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+
 
+def packed(kind: int, keys: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(raw[:, : ORDERS if kind == GRAM else 8]).tobytes()
 
-def gram_lists(docs: DataFrame, n: int) -> DataFrame:
-    """chunk, gram, n: the distinct grams of each of the n chunks of docs (chunk, held_out, text)."""
-    return docs.select("chunk", "held_out", "text").repartition(n, "chunk").groupBy("chunk").applyInArrow(chunk_grams, "chunk int, gram long, n long")
 
+def unpacked(kind: int, raw: bytes) -> np.ndarray:
+    width = ORDERS if kind == GRAM else 8
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
-BLOCKS = "shard int, gram array<long>, n array<long>"
 
+LISTS = "part int, kind int, chunk int, keys binary, counts binary"
 
-def gram_blocks(totals: DataFrame) -> DataFrame:
-    """BLOCKS rows, shards in order, of totals (gram, n); grams that share the DEALT bytes before the last are in one block."""
-    size = totals.count()
-    shards = max(SHARDS, -(-size // (BLOCK * SHARD_BLOCKS)))
-    context = F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1)))
-    shard = F.pmod(context, F.lit(shards)).cast("int").alias("shard")
-    block = F.pmod(F.shiftright(context, 32), F.lit(max(1, min(SHARD_BLOCKS, -(-size // (BLOCK * shards)))))).cast("int").alias("block")
-    rows = totals.select(shard, block, "gram", "n").repartition(shards, "shard").sortWithinPartitions("shard", "block", "gram")
+
+def key_lists(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """LISTS of docs (chunk, held_out, text) in n chunks: a row for each chunk, kind and part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        rows = []
+        for kind, (keys, counts) in enumerate(tallies(table)):
+            order, ends = parted(kind, keys, parts)
+            keys, counts = keys[order], counts[order].astype("<u4")
+            rows += [(p, kind, chunk, packed(kind, keys[a:b]), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if b > a]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "kind", "chunk", "keys", "counts"])
+
+    return docs.select("chunk", "held_out", "text").repartition(n, "chunk").groupBy("chunk").applyInArrow(run, LISTS)
+
+
+TOTALS = "part int, kind int, keys binary, counts binary"
+
+
+def key_totals(lists: DataFrame, parts: int) -> DataFrame:
+    """TOTALS of LISTS: a row for each part and kind, with all its keys, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        now, tally = None, Tally()
 
         def told() -> pa.RecordBatch:
-            shard, _, gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in (gram, n)]
-            return pa.RecordBatch.from_arrays([pa.array(shard[:1], pa.int32()), *lists], names=["shard", "gram", "n"])
+            keys, counts = tally.merge()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([packed(now[1], keys)], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["part", "kind", "keys", "counts"])
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
-            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-                part = [c[a:b] for c in rows]
-                if held and len(part[0]) and (held[-1][0][0] != part[0][0] or held[-1][1][0] != part[1][0]):
-                    yield told()
-                    held = []
-                if len(part[0]):
-                    held.append(part)
-        if held:
+            for part, kind, keys, counts in zip(*(batch.column(i) for i in (0, 1, 3, 4)), strict=True):
+                at = part.as_py(), kind.as_py()
+                if at != now:
+                    if now is not None:
+                        yield told()
+                    now, tally = at, Tally()
+                tally.add(unpacked(at[1], keys.as_buffer()), np.frombuffer(counts.as_buffer(), "<u4").astype(np.float64), distinct=True)
+        if now is not None:
             yield told()
 
-    return rows.mapInArrow(run, BLOCKS)
+    return lists.repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(run, TOTALS)
+
+
+def training_tokens(totals: DataFrame) -> tuple[int, int]:
+    """All training tokens, and how many different ones there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = v = 0
+        for batch in batches:
+            for raw in batch.column(0):
+                counts = np.frombuffer(raw.as_buffer(), "<i8")
+                n, v = n + int(counts.sum()), v + int((counts > 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64())], names=["n", "v"])
+
+    row = totals.filter(F.col("kind") == WORD).select("counts").mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def blocks_in(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Neighbouring keys of a part with all that share their contexts: where they are, their grams in order, and their counts, in that order."""
+    ends = np.append(np.flatnonzero(np.diff(keys >> np.uint64(24))) + 1, len(keys))
+    a = 0
+    while a < len(keys):
+        b = int(ends[min(len(ends) - 1, max(np.searchsorted(ends, a + 1), np.searchsorted(ends, a + BLOCK, side="right") - 1))])
+        yield slice(a, b), unturned(keys[a:b]), counts[a:b]
+        a = b
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each block: its shard, its distinct grams in order, and their counts."""
+def grams_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys and counts of each part, from TOTALS of grams."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            gram, n = (batch.column(k)[i].values.to_numpy() for k in (1, 2))
-            yield batch.column(0)[i].as_py(), gram.astype(np.uint64), n.astype(np.float64)
+        for keys, counts in zip(batch.column(2), batch.column(3), strict=True):
+            yield unpacked(GRAM, keys.as_buffer()), np.frombuffer(counts.as_buffer(), "<i8").astype(np.float64)
 
 
-def low_orders(blocks: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+def low_orders(totals: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order below DEALT the sorted pairs of context and byte, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, gram, n in blocks_of(batches):
-            pair, back = np.unique(gram & np.uint64((1 << 8 * DEALT) - 1), return_inverse=True)
+        for keys, n in grams_in(batches):
+            pair, back = np.unique(unturned(keys) & np.uint64((1 << 8 * DEALT) - 1), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(np.bincount(back, n, len(pair)).astype(np.int64))], names=["pair", "n"])
 
     # At most 2**24 rows, whatever the input's size.
-    found = blocks.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = totals.filter(F.col("kind") == GRAM).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, n = found.column("pair").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     out = []
     for order in range(DEALT):
@@ -242,6 +248,9 @@ def low_orders(blocks: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+# ---- model
+
+
 class Counts:
     """Counts of zeros and ones after each context of a block's distinct grams that occur n times each."""
 
@@ -361,38 +370,35 @@ class Mixer:
         return total
 
 
-def train(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
-    """A mixer of all grams of the blocks that training texts have."""
-    context = blocks.sparkSession.sparkContext
+def train(totals: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
+    """A mixer of all grams of the TOTALS that training texts have."""
+    context = totals.sparkSession.sparkContext
     mixer, sent = Mixer(), context.broadcast(low)
+    grams = totals.filter(F.col("kind") == GRAM)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = lambda own, total: pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.ravel().tolist()])], names=["total", "weights"])
-        own, total, now = Mixer(), 0.0, None
-        for shard, gram, n in blocks_of(batches):
-            if shard != now:
-                if total:
-                    yield told(own, total)
-                own, total, now = Mixer(), 0.0, shard
-            own.learn(gram, n, Counts(gram, n, sent.value))
-            total += float(np.sqrt(n).sum())
-        if total:
-            yield told(own, total)
+        for keys, counts in grams_in(batches):
+            own = Mixer()
+            for _, gram, n in blocks_in(keys, counts):
+                own.learn(gram, n, Counts(gram, n, sent.value))
+            if total := float(np.sqrt(counts).sum()):
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.ravel().tolist()])], names=["total", "weights"])
 
     sums = [F.sum(F.col("total") * F.col("weights")[i]) for i in range(mixer.weights.size)]
-    row = blocks.mapInArrow(learn, "total double, weights array<double>").agg(F.sum("total"), F.array(*sums)).first()
+    row = grams.mapInArrow(learn, "total double, weights array<double>").agg(F.sum("total"), F.array(*sums)).first()
     if row[0]:
         mixer.weights = np.array(row[1]).reshape(mixer.weights.shape) / row[0]
         weighted = context.broadcast(mixer)
 
         def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(weighted.value.map)
-            for _, gram, n in blocks_of(batches):
-                out += weighted.value.map_counts(gram, n, Counts(gram, n, sent.value))
+            for keys, counts in grams_in(batches):
+                for _, gram, n in blocks_in(keys, counts):
+                    out += weighted.value.map_counts(gram, n, Counts(gram, n, sent.value))
             used = np.flatnonzero(out.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used, 0]), pa.array(out[used, 1])], names=["cell", "n0", "n1"])
 
-        cells = blocks.mapInArrow(refine, "cell long, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        cells = grams.mapInArrow(refine, "cell long, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
         mixer.map = np.zeros_like(mixer.map)
         mixer.map[cells.column("cell").to_numpy()] = np.stack([cells.column("n0").to_numpy(), cells.column("n1").to_numpy()], axis=1)
     return mixer
@@ -429,64 +435,99 @@ class Scorer:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
-SCORES = "doc_id long, text_hash long, score double, bits_per_byte double"
+ANSWERS = "chunk int, kind int, part int, found binary"
 
 
-def chunk_sums(docs: pa.Table, grams: pa.Table) -> pa.Table:
-    """SCORES rows of a chunk's texts, by the log10 probabilities of its distinct grams."""
-    table = Table(max(8, grams.num_rows.bit_length() + 1))
-    key = lambda gram: mix(gram.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    table.add(key(grams.column("gram").to_numpy()), np.arange(grams.num_rows, dtype=np.int32))
-    values = grams.column("log").to_numpy()
-    out: dict[str, list] = {"doc_id": [], "text_hash": [], "score": [], "bits_per_byte": []}
-    for part in slices(iter(docs.combine_chunks().to_batches())):
-        names = part.schema.names
-        data, offsets = flat(part.column(names.index("text")))
-        total = np.append(0, np.cumsum(values[table.find(key(grams_of(data, offsets)))]))
-        found = total[offsets[1:]] - total[offsets[:-1]]
-        out["doc_id"] += part.column(names.index("doc_id")).to_pylist()
-        out["text_hash"] += part.column(names.index("text_hash")).to_pylist()
-        out["score"] += found.tolist()
-        out["bits_per_byte"] += (-found / np.log10(2) / np.maximum(np.diff(offsets), 1)).tolist()
-    return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "text_hash") else pa.float64()) for k, v in out.items()})
-
-
-def score(docs: DataFrame, lists: DataFrame, blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer, n: int) -> DataFrame:
-    """SCORES rows of docs (chunk, doc_id, text_hash, text) in n chunks, whose grams the lists and blocks have."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((low, mixer))
+def answers(lists: DataFrame, totals: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer, parts: int) -> DataFrame:
+    """ANSWERS to each of the LISTS: for its grams their log10 probabilities, for its words their counts."""
+    sent = lists.sparkSession.sparkContext.broadcast((low, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, mixer = sent.value
-        for _, gram, count in blocks_of(batches):
-            log = mixer.log10(gram, Counts(gram, count, low))
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(log)], names=["gram", "log"])
-
-    logs = stored(blocks.mapInArrow(run, "gram long, log double"), "logs")
-    answers = lists.select("chunk", "gram").join(logs.hint("shuffle_hash"), "gram").select("chunk", "gram", "log").repartition(n, "chunk")
-    docs = docs.select("chunk", "doc_id", "text_hash", "text").repartition(n, "chunk")
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(chunk_sums, SCORES)
+        every, known = np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            out = []
+            for part, kind, chunk, keys, counts in zip(*(batch.column(i) for i in range(5)), strict=True):
+                kind = kind.as_py()
+                if chunk.as_py() < 0:  # a part's totals come before its lists
+                    every, known = unpacked(kind, keys.as_buffer()), np.frombuffer(counts.as_buffer(), "<i8")
+                    if kind == GRAM:
+                        n, known = known.astype(np.float64), np.zeros(len(every), "<f4")
+                        for at, gram, count in blocks_in(every, n):
+                            known[at] = mixer.log10(gram, Counts(gram, count, low))
+                else:
+                    at = np.searchsorted(every, unpacked(kind, keys.as_buffer()))
+                    out.append((chunk.as_py(), kind, part.as_py(), known[at].tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["chunk", "kind", "part", "found"])
+
+    asked = lists.withColumn("counts", F.lit(None).cast("binary")).unionByName(totals.withColumn("chunk", F.lit(-1)))
+    return asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(run, ANSWERS)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"
+
+
+def chunk_scores(docs: pa.Table, found: pa.Table, parts: int) -> pa.Table:
+    """SCORES of a chunk's texts, by the ANSWERS to its lists; logs is the sum of log10(c + 1) over tokens."""
+    out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
+    kinds, places = found.column("kind").to_numpy(), found.column("part").to_numpy()
+    tables, values = [], []
+    for kind, (keys, _) in enumerate(tallies(docs)):
+        rows = np.flatnonzero(kinds == kind)
+        rows = rows[np.argsort(places[rows])]
+        got = np.frombuffer(b"".join(found.column("found")[int(i)].as_py() for i in rows), "<f4" if kind == GRAM else "<i8")
+        order, _ = parted(kind, keys, parts)
+        value = np.empty(len(keys), np.float64)
+        value[order] = got
+        table = Table(max(8, len(keys).bit_length() + 1))
+        table.add(mix(keys + np.uint64(1)) | np.uint64(1), np.arange(len(keys), dtype=np.int32))
+        tables.append(table)
+        values.append(value)
+    log_count, log = np.log10(values[WORD] + 1.0), values[GRAM]
+    of = lambda kind, keys: tables[kind].find(mix(keys + np.uint64(1)) | np.uint64(1))
+    end = of(WORD, np.array([END_TOKEN], np.uint64))[0] if docs.num_rows else 0
+    for part, offsets, grams, at, words, train in pieces(docs):
+        k = of(WORD, words)
+        logs, known = np.append(0, np.cumsum(log_count[k])), np.append(0, np.cumsum(values[WORD][k] > 0))
+        bits = np.append(0, np.cumsum(log[of(GRAM, grams)]))
+        score = bits[offsets[1:]] - bits[offsets[:-1]]
+        out["doc_id"] += part.column(part.schema.names.index("doc_id")).to_pylist()
+        out["held_out"] += (~train).tolist()
+        out["n_tokens"] += (np.diff(at) + 1).tolist()
+        out["n_known"] += (known[at[1:]] - known[at[:-1]] + (values[WORD][end] > 0)).tolist()
+        out["logs"] += (logs[at[1:]] - logs[at[:-1]] + log_count[end]).tolist()
+        out["score"] += score.tolist()
+        out["bits_per_byte"] += (-score / np.log10(2) / np.maximum(np.diff(offsets), 1)).tolist()
+    types = {"held_out": pa.bool_(), "logs": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
+    return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
+
+
+def score(docs: DataFrame, told: DataFrame, n: int, parts: int) -> DataFrame:
+    """SCORES of docs (chunk, doc_id, held_out, text) in n chunks, by ANSWERS."""
+    docs = docs.select("chunk", "doc_id", "held_out", "text").repartition(n, "chunk")
+    return docs.groupBy("chunk").cogroup(told.repartition(n, "chunk").groupBy("chunk")).applyInArrow(lambda a, b: chunk_scores(a, b, parts), SCORES)
 
 
 def dealt(documents: DataFrame) -> tuple[DataFrame, int]:
-    """chunk, doc_id, text_hash, held_out, text for each row of documents, and the number of chunks."""
+    """chunk, doc_id, held_out, text for each row of documents, and the number of chunks."""
     held = F.coalesce(crc_of_id(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out")
-    docs = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text"))
     n = max(CHUNKS, -(-text_bytes(docs) // CHUNK))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int")), n
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """Base and model scores of all documents; the model learns from those that aren't held out."""
     docs, n = dealt(documents)
-    lists = stored(gram_lists(docs, n), "grams", compression="zstd")
-    blocks = stored(gram_blocks(stored(lists.groupBy("gram").agg(F.sum("n").alias("n")), "totals", compression="zstd")), "blocks", compression="zstd")
-    low = low_orders(blocks)
-    scored = stored(score(docs, lists, blocks, low, train(blocks, low), n), "scores")
-    scored = scored.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.first("score").alias("score"), F.first("bits_per_byte").alias("bits_per_byte"))
-    base = stored(base_scores(docs, n), "base")
-    total = base.filter("known_words is not null").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.coalesce(F.sum("known_words"), F.lit(0)).alias("v")).first()
-    rows = base.filter("known_words is null")
-    rows = rows.join(scored, rows["doc_id"].eqNullSafe(scored["d"]) & (rows["text_hash"] == scored["t"]))
-    whole = F.log10(F.lit(float(total["n"] + total["v"] + 1)))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score", "bits_per_byte")
+    parts = min(PARTS, n)
+    lists = stored(key_lists(docs, n, parts), "lists", compression="zstd")
+    totals = stored(key_totals(lists, parts), "totals", compression="zstd")
+    tokens, kinds = training_tokens(totals)
+    low = low_orders(totals)
+    told = stored(answers(lists, totals, low, train(totals, low), parts), "answers", compression="zstd")
+    forget(lists, totals)
+    scored = stored(score(docs, told, n, parts), "scores")
+    forget(told)
+    whole = F.log10(F.lit(float(tokens + kinds + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score", "bits_per_byte")
