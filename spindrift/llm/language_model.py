@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Table, crc_of_id, flat, forget, mix, slices, stored, text_bytes
+from spindrift.llm.common import crc_of_id, flat, forget, mix, slices, stored, text_bytes
 from spindrift.llm.near_dedup import word_hashes
 
 #: Bytes of texts in a chunk, about, and the least number of chunks.
@@ -52,7 +52,6 @@ CHUNK, CHUNKS = 8 << 20, 16
 PARTS = 1 << 12
 GRAM, WORD = 0, 1
 ORDERS = 6
-SLOT_BITS = 19
 #: The least order whose contexts are dealt into parts.
 DEALT = 3
 #: Strings that are worked on together, if contexts end there.
@@ -283,34 +282,17 @@ class Counts:
         return np.stack([n[back[at]] for n, (_, _, back) in zip(found, self.orders, strict=True)])
 
 
-def slots(gram: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the orders (ORDERS x grams) for the bit-th decision, and its outcome."""
-    gram = gram.astype(np.uint64)
-    node = (gram & np.uint64(0xFF)) >> np.uint64(8 - bit) | np.uint64(1 << bit)
-    out = np.empty((ORDERS, len(gram)), np.int64)
-    for order in range(ORDERS):
-        context = gram >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
-        h = mix((context << np.uint64(11) | node << np.uint64(3) | np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15))
-        out[order] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (order << SLOT_BITS)
-    return out, (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-
-
 class Mixer:
-    """Gated weights and the adaptive map, of fixed size; without Counts it reads slots that its user gives, which contexts share."""
+    """Gated weights and the adaptive map, of fixed size."""
 
-    def __init__(self, counts: np.ndarray | None = None) -> None:
-        self.counts = counts  # slots x 2
+    def __init__(self) -> None:
         self.weights = np.zeros((GATES, ORDERS + 1))
         self.weights[:, :ORDERS] = 0.3
         self.map = np.zeros((MAP_CONTEXTS * MAP_LEVELS, 2))
 
-    def inputs(self, gram: np.ndarray, bit: int, left_out: int = 0, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of the predictors (grams x inputs), gates, outcomes; left_out: occurrences that are not counted; n: what Counts.rows gives."""
-        if n is None:
-            at, y = slots(gram, bit)
-            n = self.counts[at].astype(np.float64)
-        else:
-            y = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
+    def inputs(self, gram: np.ndarray, bit: int, n: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the predictors (grams x inputs), gates, outcomes; n: what Counts.rows gives; left_out: occurrences that are not counted."""
+        y = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
         if left_out:
             n[:, np.arange(len(y)), y] = np.maximum(n[:, np.arange(len(y)), y] - left_out, 0)
         x = np.empty((len(y), ORDERS + 1))
@@ -335,7 +317,7 @@ class Mixer:
             for i in range(0, len(order), block):
                 at = order[i : i + block]
                 weight = np.sqrt(n[at])
-                x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
+                x, gate, y = self.inputs(gram[at], bit, counts.rows(found, at), 1)
                 error = (y - 1 / (1 + np.exp(-self.mixed(x, gate)))) * weight
                 step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(ORDERS + 1)], axis=1)
                 total = np.bincount(gate, weight, GATES)
@@ -349,21 +331,21 @@ class Mixer:
             found = counts.of(bit)
             for i in range(0, len(train), block):
                 at = train[i : i + block]
-                x, gate, y = self.inputs(gram[at], bit, 1, counts.rows(found, at))
+                x, gate, y = self.inputs(gram[at], bit, counts.rows(found, at), 1)
                 out += np.bincount(2 * self.cell(gram[at], bit, self.mixed(x, gate)) + y, n[at], 2 * size)
         return out.reshape(size, 2)
 
-    def log10(self, gram: np.ndarray, counts: Counts | None = None, block: int = 8192) -> np.ndarray:
+    def log10(self, gram: np.ndarray, counts: Counts, block: int = 8192) -> np.ndarray:
         """log10 probability of each gram's last byte after its others."""
         total = np.zeros(len(gram))
         for bit in range(8):
-            found = counts.of(bit) if counts else None
+            found = counts.of(bit)
             for i in range(0, len(gram), block):
-                g, at = gram[i : i + block], slice(i, i + block)
-                x, gate, y = self.inputs(g, bit, 0, counts.rows(found, at) if counts else None)
+                at = slice(i, i + block)
+                x, gate, y = self.inputs(gram[at], bit, counts.rows(found, at))
                 z = self.mixed(x, gate)
                 p = 1 / (1 + np.exp(-z))
-                cell = self.map[self.cell(g, bit, z)]
+                cell = self.map[self.cell(gram[at], bit, z)]
                 refined = (cell[:, 1] + 8 * p) / (cell.sum(axis=1) + 8)
                 p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
                 total[at] += np.log10(np.where(y == 1, p, 1 - p))
@@ -404,37 +386,6 @@ def train(totals: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
     return mixer
 
 
-class Scorer:
-    """Sums of Mixer.log10 over texts; each gram is worked out once while the bounded table lasts."""
-
-    def __init__(self, mixer: Mixer) -> None:
-        self.mixer = mixer
-        self.empty()
-
-    def empty(self) -> None:
-        self.table, self.values = Table(22), np.zeros(1 << 21)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        gram = grams_of(data, offsets)
-        key = mix(gram.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-        at = self.table.find(key)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            g, index = np.unique(gram[new], return_index=True)
-            if len(g) > self.table.room:
-                self.empty()
-                g, index = np.unique(gram, return_index=True)
-                new = np.arange(len(gram))
-                if len(g) > self.table.room:
-                    self.table, self.values = Table(len(g).bit_length() + 1), np.zeros(len(g))
-            have = self.table.n
-            self.values[have : have + len(g)] = np.concatenate([self.mixer.log10(g[i : i + 8192]) for i in range(0, len(g), 8192)])
-            self.table.add(key[new[index]], np.arange(have, have + len(g), dtype=np.int32))
-            at[new] = self.table.find(key[new])
-        total = np.append(0, np.cumsum(self.values[at]))
-        return total[offsets[1:]] - total[offsets[:-1]]
-
-
 ANSWERS = "chunk int, kind int, part int, found binary"
 
 
@@ -472,31 +423,32 @@ def chunk_scores(docs: pa.Table, found: pa.Table, parts: int) -> pa.Table:
     """SCORES of a chunk's texts, by the ANSWERS to its lists; logs is the sum of log10(c + 1) over tokens."""
     out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
     kinds, places = found.column("kind").to_numpy(), found.column("part").to_numpy()
-    tables, values = [], []
-    for kind, (keys, _) in enumerate(tallies(docs)):
+    held, distinct = [], [Tally(), Tally()]
+    for part, offsets, grams, at, words, train in pieces(docs):
+        uniques = [np.unique(x, return_inverse=True) for x in (grams, np.append(words, np.uint64(END_TOKEN)))]
+        for tally, (keys, _) in zip(distinct, uniques, strict=True):
+            tally.add(keys, np.zeros(len(keys)), distinct=True)
+        held.append((part.column(part.schema.names.index("doc_id")), offsets, at, train, [(keys, back.astype(np.int32)) for keys, back in uniques]))
+    every, values = [tally.merge()[0] for tally in distinct], []
+    for kind, keys in enumerate(every):
         rows = np.flatnonzero(kinds == kind)
         rows = rows[np.argsort(places[rows])]
         got = np.frombuffer(b"".join(found.column("found")[int(i)].as_py() for i in rows), "<f4" if kind == GRAM else "<i8")
         order, _ = parted(kind, keys, parts)
         value = np.empty(len(keys), np.float64)
         value[order] = got
-        table = Table(max(8, len(keys).bit_length() + 1))
-        table.add(mix(keys + np.uint64(1)) | np.uint64(1), np.arange(len(keys), dtype=np.int32))
-        tables.append(table)
         values.append(value)
-    log_count, log = np.log10(values[WORD] + 1.0), values[GRAM]
-    of = lambda kind, keys: tables[kind].find(mix(keys + np.uint64(1)) | np.uint64(1))
-    end = of(WORD, np.array([END_TOKEN], np.uint64))[0] if docs.num_rows else 0
-    for part, offsets, grams, at, words, train in pieces(docs):
-        k = of(WORD, words)
-        logs, known = np.append(0, np.cumsum(log_count[k])), np.append(0, np.cumsum(values[WORD][k] > 0))
-        bits = np.append(0, np.cumsum(log[of(GRAM, grams)]))
+    for doc_id, offsets, at, train, uniques in held:
+        value, counts = (values[kind][np.searchsorted(every[kind], keys)][back] for kind, (keys, back) in enumerate(uniques))
+        logs = np.log10(counts + 1.0)
+        # The end's count stands behind those of the words.
+        sums, known, bits = (np.append(0, np.cumsum(x)) for x in (logs[:-1], counts[:-1] > 0, value))
         score = bits[offsets[1:]] - bits[offsets[:-1]]
-        out["doc_id"] += part.column(part.schema.names.index("doc_id")).to_pylist()
+        out["doc_id"] += doc_id.to_pylist()
         out["held_out"] += (~train).tolist()
         out["n_tokens"] += (np.diff(at) + 1).tolist()
-        out["n_known"] += (known[at[1:]] - known[at[:-1]] + (values[WORD][end] > 0)).tolist()
-        out["logs"] += (logs[at[1:]] - logs[at[:-1]] + log_count[end]).tolist()
+        out["n_known"] += (known[at[1:]] - known[at[:-1]] + (counts[-1] > 0)).tolist()
+        out["logs"] += (sums[at[1:]] - sums[at[:-1]] + logs[-1]).tolist()
         out["score"] += score.tolist()
         out["bits_per_byte"] += (-score / np.log10(2) / np.maximum(np.diff(offsets), 1)).tolist()
     types = {"held_out": pa.bool_(), "logs": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
