@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import chunks_for, stored
+from spindrift.llm.common import chunks_for, forget, stored
 from spindrift.llm.decontaminate import bitmap, has_bit, words
 
 RARE, COMMON = 0.0005, 0.1
@@ -147,6 +147,7 @@ def digests(documents: DataFrame) -> DataFrame:
     band = stored(lexicon(docs), "lexicon")
     # The bitmap is made once and read back as one row.
     bits = bitmap(band.select(F.col("term").alias("fp")), band.count())
+    forget(band)
     docs = with_next(docs, lambda df: fingerprint(df, bits, "text", "own"), ["text", "own"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))

@@ -136,7 +136,7 @@ def train(found: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epo
 
 
 def fit(labelled: DataFrame, *, rows: int = 4000, **options: float) -> Model | None:
-    """Trains on at most about ``rows`` of labelled (doc_id, text, lang), evenly by language; rows without text or lang don't count."""
+    """Trains on at most about ``rows`` of labelled (doc_id, text, lang), evenly by language; rows without lang or a letter don't count."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -152,14 +152,22 @@ def fit(labelled: DataFrame, *, rows: int = 4000, **options: float) -> Model | N
         for part in slices(batches):
             out = []
             for lang, text, h in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                out.append((lang, *counted(text)))
+                if not lettered(text):
+                    continue
+                out.append((lang, h, *counted(text)))
                 if h % EVERY == 0:
-                    out.append((NOISE, *counted(shuffled(text, h))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["lang", "at", "share"])
+                    out.append((NOISE, h, *counted(shuffled(text, h))))
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["lang", "h", "at", "share"])
 
-    sample = drawn.mapInArrow(run, "lang string, at binary, share binary").collect()
-    found = sorted((r["lang"], bytes(r["at"]), bytes(r["share"])) for r in sample if r["at"])
-    return train([(a, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f4")) for a, b, c in found], **options)
+    sample = drawn.mapInArrow(run, "lang string, h long, at binary, share binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    rows_of = zip(sample.column("lang").to_pylist(), *(sample.column(c) for c in ("at", "share")), strict=True)
+    return train([(lang, read(at, "<u4"), read(share, "<f4")) for lang, at, share in rows_of if len(at.as_buffer())], **options)
+
+
+def lettered(text: str) -> bool:
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 def counted(text: str) -> tuple[bytes, bytes]:
@@ -185,7 +193,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         model = sent.value
         for part in slices(batches, text, 1 << 19):
             column = part.column(part.schema.get_field_index(text))
-            letters = np.array([model is not None and x is not None and (_ASCII_LETTER.search(x) is not None or any(map(str.isalpha, x))) for x in column.to_pylist()], bool)
+            letters = np.array([model is not None and x is not None and lettered(x) for x in column.to_pylist()], bool)
             best, names = np.zeros(len(letters)), np.array([UNKNOWN] * len(letters), object)
             if model is not None:
                 p = model.scores(*flat(column))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import flat, mix, slices, span_hash, stored
+from spindrift.llm.common import flat, forget, mix, slices, span_hash, stored
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
@@ -213,14 +213,17 @@ def connected(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) for each id in edges (a, b)."""
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    table = labels
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         root = lower.select(F.col("id").alias("r"), F.col("component").alias("of_root"))
         jumped = lower.join(root, lower["component"] == root["r"], "left").select("id", F.least("component", "of_root").alias("component"), "old")
         jumped = stored(jumped, "labels")
-        labels = jumped.select("id", "component")
-        if not jumped.filter("component <> old").limit(1).count():
+        forget(table)
+        labels, table = jumped.select("id", "component"), jumped
+        if jumped.filter("component <> old").isEmpty():
+            forget(both)
             return labels
 
 
@@ -271,7 +274,9 @@ def links(documents: DataFrame, nodes: DataFrame) -> DataFrame | None:
     members = members.join(nodes.select("id", "sig"), "id").join(sets, "id")
     more = members.groupBy("kind", "g", "i", "j").applyInArrow(block_links, "a long, b long")
     edges = found.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    return connected(edges.unionByName(more))
+    out = connected(edges.unionByName(more))
+    forget(lists, sets, found, told)
+    return out
 
 
 def components(documents: DataFrame) -> DataFrame:

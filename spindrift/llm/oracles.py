@@ -42,4 +42,45 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-SQL = {"op3_decontaminate": OP3, "op5_near_dedup": OP5, "op9_chat_format": OP9}
+_KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
+# The three rules, the group that counts, and its least length.
+_RULES = (("assign", rf"({_KEY})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "(AKIA[A-Z0-9]+)", 1, 18), ("hex", "([0-9a-f]+)", 1, 16))
+
+
+def _found(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Findings of a rule: a match starts behind all texts between matches, and all matches, before it."""
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, start_at, start_at + len(said) AS stop FROM (
+  SELECT doc_id, said, part, list_sum(list_transform(gaps[:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: len(x))), 0)::BIGINT AS start_at
+  FROM (SELECT doc_id, gaps, whole, unnest(whole) AS said, unnest(parts) AS part, generate_subscripts(whole, 1) AS i
+    FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS whole, regexp_extract_all(t, '{pattern}', {group}) AS parts FROM d)))
+  WHERE len(part) >= {least}"""
+
+
+RULES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found(k, *r) for k, r in enumerate(_RULES))})
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start_at || ':' || stop, ',' ORDER BY start_at, k), '')) AS base_sha256
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+# The cyclic redundancy check of a short text, bit by bit.
+_BITS = "list_reduce(list_prepend(xor(c, ord(b)::BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+_CRC = f"xor(list_reduce(list_prepend({{'c': 4294967295::BIGINT, 'b': ''}}, list_transform(string_split(doc_id::VARCHAR, ''), lambda z: {{'c': 0::BIGINT, 'b': z}})), lambda p, q: {{'c': {_BITS.replace('xor(c, ord(b)::BIGINT)', "xor(p.c, ord(q.b)::BIGINT)")}, 'b': ''}}).c, 4294967295)"
+
+WORDS = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_TOKENS}, chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + 1.0 * (v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""
+
+EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS next FROM d)
+SELECT doc_id, n AS n_chars, sha256(substring(t, 1, CAST(n - n // 2 AS INTEGER)) || substring(next, 1, CAST(n // 2 AS INTEGER))) AS edited_sha256 FROM n
+"""
+
+SQL = {"secret_rules": RULES, "word_scores": WORDS, "edited_texts": EDITED, "op3_decontaminate": OP3, "op5_near_dedup": OP5, "op9_chat_format": OP9}

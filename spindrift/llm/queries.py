@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, chat_format, decontaminate, fingerprints, language_id, language_model, near_dedup, oracles, secret_scan, span_dedup, token_files
 
@@ -65,6 +66,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digests(documents(spark, sf_dir))
 
 
+def secret_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op1 find, without the network's findings."""
+    return op1_secret_scan(spark, sf_dir).drop("spans", "n_cnn", "n_likely")
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that come from the table of words."""
+    return op4_language_model(spark, sf_dir).drop("score", "bits_per_byte").withColumn("base_score", F.round("base_score", 6))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts op8 compares."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_span_dedup": op2_span_dedup,
@@ -76,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "secret_rules": secret_rules,
+    "word_scores": word_scores,
+    "edited_texts": edited_texts,
 }
 SQL: dict[str, str] = oracles.SQL

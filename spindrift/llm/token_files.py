@@ -1,6 +1,6 @@
 """Operator 6: token ids in Parquet list columns, in ascending order of documents.
 
-Texts are range-partitioned by doc_id and encoded in that order, each followed by
+Texts are range-partitioned by doc_id, pieces in number by the input's size, and encoded in that order, each followed by
 an end id, and written by Spark's Parquet writer: ids in a dictionary-encoded
 list column, row groups and pages of stated sizes, page indexes for doc_id, so
 that a reader of some documents, or of the counts alone, reads those pages only.
@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import shared_dir, slices
+from spindrift.llm.common import chunks_for, shared_dir, slices
 from spindrift.llm.pretokens import SPECIAL, Encoder
 
+#: Bytes of input for a piece of the order, about.
+PIECE = 32 << 20
 FILE = "part int, doc_id long, at long, n_tokens int, ids array<int>"
 _kept: dict[str, Encoder] = {}
 
@@ -73,7 +75,11 @@ def write(df: DataFrame, folder: str, path: str, *, end_id: int = 0, group_mb: i
             )
             at += int(ends[-1])
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = df.select("doc_id", "text")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks_for(docs, PIECE))
+    # An id that many rows have is split by the texts' hashes, which are its order.
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
     options = {
         "compression": "zstd",
         "parquet.block.size": str(group_mb << 20),

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -106,6 +107,41 @@ def test_token_files(docs, empty, rows, path, library):
     assert token_files.digests(empty, path).count() == 0
 
 
+def test_files_are_encoded_and_pruned(spark, path, tmp_path):
+    """Ids in a dictionary, row groups and pages of the sizes asked for, indexes of pages; one document's ids are read without the others."""
+    texts = [f"word{i % 7} and some more words of text number {i % 50}. " * 400 for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_files.write(df, f"{tmp_path}/a", path, group_mb=1, page_kb=16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = 0
+    for file in (tmp_path / "a").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        columns = {meta.row_group(0).column(k).path_in_schema: meta.row_group(0).column(k) for k in range(meta.num_columns)}
+        ids = next(c for name, c in columns.items() if name.startswith("ids"))
+        assert ids.has_dictionary_page and any("DICTIONARY" in x for x in ids.encodings) and ids.has_offset_index
+        assert columns["doc_id"].has_column_index and not columns["at"].has_dictionary_page
+        assert all(meta.row_group(g).total_byte_size < 4 << 20 for g in range(meta.num_row_groups))
+        rows += meta.num_rows
+    assert rows == 200
+    back = token_files.read(spark, f"{tmp_path}/a")
+    plan = back.filter("doc_id = 77").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,77)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    library = Tokenizer.from_file(path)
+    assert back.filter("doc_id = 77").first()["ids"] == [*library.encode(texts[77], add_special_tokens=False).ids, 0]
+
+
+def test_rows_of_one_id_are_in_several_pieces(spark, path, monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE", 400)
+    rows = [(None if i % 2 else 5, f"text {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(token_files.digests(df, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None] * 30 + [5] * 30
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_hash_table():
     table = Table(8)
     h = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
