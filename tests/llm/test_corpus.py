@@ -407,6 +407,26 @@ def test_dropping_duplicates(docs, empty, rows):
     assert near_dedup.components(empty).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """op3 takes each text of an id by itself; op5 takes an id as one document with the links of all its texts; op2's marks of an id hold for each of its texts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda x: " ".join([*x[:59], word()])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a)), (12, near(b)), (20, " ".join(c)), (None, " ".join(a)), (None, None), (21, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"]) for r in near_dedup.components(df).collect()]
+    assert sorted(found, key=str) == sorted([(5, 5), (5, 5), (9, 5), (12, 5), (20, 20), (None, None), (None, None), (21, 21)], key=str)
+    bench = spark.createDataFrame([(1, " ".join(a[10:30]))], "item_id long, text string")
+    hit = sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.digests(df, bench).collect()), key=str)
+    assert hit == sorted([(5, 60, 20), (5, 60, 0), (9, 60, 20), (12, 60, 0), (20, 60, 0), (None, 60, 20), (None, 0, 0), (21, 0, 0)], key=str)
+    assert decontaminate.clean(df, bench).count() == 5
+    cut = span_dedup.digests(df).collect()
+    assert len(cut) == len(rows)
+    # The null id stands first, so what it has in common with others goes from them.
+    assert sum(r["n_removed"] for r in cut if r["doc_id"] is None) == 0 and all(r["n_removed"] > 100 for r in cut if r["doc_id"] in (9, 12))
+
+
 # ---- 8
 
 

@@ -172,6 +172,14 @@ def test_chats(spark):
     assert chat_format.digests(df.limit(0)).count() == 0
 
 
+def test_long_roles_and_texts(spark):
+    rows = [(1, k, "r" * 300_000 if k % 2 else "assistant", "t:###</turn>" * 60_000) for k in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat_format.digests(df).collect()
+    assert r["n_turns"] == 8 and r["loss_chars"] == 4 * 12 * 60_000
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in rows).encode()).hexdigest()
+
+
 def test_no_control_string_stands_bare(spark):
     df = spark.createDataFrame([r for r in turns() if r[0] == 1], "conv_id long, turn long, role string, text string")
     (piece,) = chat_format.format_chats(df).collect()
