@@ -165,7 +165,7 @@ _kept: dict[str, tuple[Merges, Encoder]] = {}
 def encoder(path: str) -> tuple[Merges, Encoder]:
     """One for each worker process and file."""
     if path not in _kept:
-        _kept[path] = ((m := Merges(path)), Encoder(m, m.special, bits=21))
+        _kept[path] = ((m := Merges(path)), Encoder(m, m.special, bits=20))
     return _kept[path]
 
 

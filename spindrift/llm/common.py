@@ -7,6 +7,7 @@ how many rows an Arrow batch or a partition has.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 2 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
 BASE = 0x9E3779B97F4A7C55 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
@@ -116,6 +122,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 _powers: dict[str, np.ndarray] = {}
