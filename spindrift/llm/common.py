@@ -11,6 +11,7 @@ import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,28 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+STATIC, RUNTIME = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_sides(spark: SparkSession) -> Iterator[None]:
+    """In here, joins broadcast a side only by its size as shuffled, under the session's threshold, never by an estimate.
+
+    Estimates start from compressed files and count an array as one item, so a side of
+    hundreds of MB passes for a few, and the driver has to hold it.
+    """
+    static, runtime = spark.conf.get(STATIC), spark.conf.get(RUNTIME, None)
+    if runtime is None:
+        spark.conf.set(RUNTIME, static)
+    spark.conf.set(STATIC, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATIC, static)
+        if runtime is None:
+            spark.conf.unset(RUNTIME)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote, once nothing reads them any more."""
     for df in tables:

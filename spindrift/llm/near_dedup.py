@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import flat, forget, mix, slices, span_hash, stored
+from spindrift.llm.common import flat, forget, measured_sides, mix, slices, span_hash, stored
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
@@ -286,16 +286,18 @@ def components(documents: DataFrame) -> DataFrame:
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "nodes")
     # An id with several texts is a node under each of its sets, which are linked by the id.
-    known = links(documents.select(F.col("doc_id").alias("id"), "text"), nodes.select("id", "n", "sig"))
+    with measured_sides(documents.sparkSession):
+        known = links(documents.select(F.col("doc_id").alias("id"), "text"), nodes.select("id", "n", "sig"))
     of_set = nodes.select("digest", "id")
     if known is not None:
-        of_set = of_set.join(known, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+        of_set = of_set.join(known.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     else:
         of_set = of_set.withColumnRenamed("id", "component")
     rows = all_sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     # Rows without a set get a key of their own, so that they don't meet in one task.
     rows = rows.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    out = rows.join(of_set, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    # This join is planned by the caller, by estimates.
+    out = rows.join(of_set.hint("merge"), "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -581,3 +581,28 @@ def test_languages(spark, rows):
     assert again.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and again.distinct().count() * 2 == again.count() == 10
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in language_id.digests(unlabelled).collect()} == {("und", 0.0)}
+
+
+def executed(spark, after: int = -1) -> dict[int, str]:
+    """Physical plans by execution, of those after one."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {x.executionId(): x.physicalPlanDescription() for x in map(found.apply, range(found.size())) if x.executionId() > after}
+
+
+def test_sides_are_broadcast_by_measured_sizes_only(spark, docs):
+    """However high the session's threshold is, no join near duplicates need goes by an estimate; the session's settings stay."""
+    static, runtime = (f"spark.sql.{x}autoBroadcastJoinThreshold" for x in ("", "adaptive."))
+    before, had = max(executed(spark), default=-1), spark.conf.get(static)
+    spark.conf.set(static, "1g")
+    spark.conf.set(runtime, "-1")
+    try:
+        near_dedup.components(docs).collect()
+        assert (spark.conf.get(static), spark.conf.get(runtime)) == ("1g", "-1")
+    finally:
+        spark.conf.set(static, had)
+        spark.conf.unset(runtime)
+    plans = executed(spark, before)
+    assert sum("SortMergeJoin" in p for p in plans.values()) > 5 and not any("BroadcastHashJoin" in p for p in plans.values())
+    near_dedup.components(docs)
+    assert spark.conf.get(runtime, None) is None
