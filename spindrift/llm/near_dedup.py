@@ -211,7 +211,9 @@ def block_links(table: pa.Table) -> pa.Table:
 
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) for each id in edges (a, b)."""
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # Both ways from one run of edges: which links stand for a block's components may differ from run to run.
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.explode(ways).alias("e")).select("e.*").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     table = labels
     while True:

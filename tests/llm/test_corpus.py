@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -606,3 +607,17 @@ def test_sides_are_broadcast_by_measured_sizes_only(spark, docs):
     assert sum("SortMergeJoin" in p for p in plans.values()) > 5 and not any("BroadcastHashJoin" in p for p in plans.values())
     near_dedup.components(docs)
     assert spark.conf.get(runtime, None) is None
+
+
+def test_links_that_differ_from_run_to_run(spark):
+    """A block may name any links that join its components; all of one run count, both ways."""
+
+    def named(batches):
+        for batch in batches:
+            g = 3 * batch.column(0).to_numpy()
+            left_out = np.random.default_rng().integers(0, 3, len(g))
+            ab = [(x + i, x + j) for x, k in zip(g.tolist(), left_out.tolist(), strict=True) for m, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))) if m != k]
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in ab], "b": [y for _, y in ab]})
+
+    edges = spark.range(300, numPartitions=3).mapInArrow(named, "a long, b long")
+    assert sorted(tuple(r) for r in near_dedup.connected(edges).collect()) == [(i, i - i % 3) for i in range(900)]
