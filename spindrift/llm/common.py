@@ -69,22 +69,24 @@ STATIC, RUNTIME = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.au
 
 
 @contextmanager
-def measured_sides(spark: SparkSession) -> Iterator[None]:
-    """In here, joins broadcast a side only by its size as shuffled, under the session's threshold, never by an estimate.
+def merge_joins(spark: SparkSession) -> Iterator[None]:
+    """In here, no join broadcasts a side: neither by an estimate nor by its size as shuffled.
 
     Estimates start from compressed files and count an array as one item, so a side of
-    hundreds of MB passes for a few, and the driver has to hold it.
+    hundreds of MB passes for a few. And each broadcast table, however small, costs the
+    driver megabytes of heap and a thread; iterative operators make dozens of them.
     """
-    static, runtime = spark.conf.get(STATIC), spark.conf.get(RUNTIME, None)
-    if runtime is None:
-        spark.conf.set(RUNTIME, static)
-    spark.conf.set(STATIC, "-1")
+    before = {name: spark.conf.get(name, None) for name in (STATIC, RUNTIME)}
+    for name in before:
+        spark.conf.set(name, "-1")
     try:
         yield
     finally:
-        spark.conf.set(STATIC, static)
-        if runtime is None:
-            spark.conf.unset(RUNTIME)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def forget(*tables: DataFrame) -> None:

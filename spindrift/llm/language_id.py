@@ -20,6 +20,7 @@ equal results; ties go to the language that sorts first.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import crc_of_id, flat, slices
+from spindrift.llm.common import crc_of_id, flat, slices, trim
 
+#: 16 at most: a bucket is sent in two bytes.
 BUCKETS_BITS = 16
 WIDTHS = (3, 4)
 UNKNOWN, NOISE = "und", ""
@@ -160,10 +162,19 @@ def fit(labelled: DataFrame, *, rows: int = 4000, **options: float) -> Model | N
             kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["lang", "h", "at", "share"])
 
-    sample = drawn.mapInArrow(run, "lang string, h long, at binary, share binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
-    read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-    rows_of = zip(sample.column("lang").to_pylist(), *(sample.column(c) for c in ("at", "share")), strict=True)
-    return train([(lang, read(at, "<u4"), read(share, "<f4")) for lang, at, share in rows_of if len(at.as_buffer())], **options)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+        found = [(lang.as_py(), read(at, "<u2"), read(share, "<f4")) for batch in batches for lang, _, at, share in zip(*batch.columns, strict=True) if len(at.as_buffer())]
+        model = train(found, **options)
+        found.clear()
+        trim()
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # A drawn text may have every bucket, so the sample is learned from in a task; the driver gets the model alone.
+    sample = drawn.mapInArrow(run, "lang string, h long, at binary, share binary").repartition(1).sortWithinPartitions("lang", "h")
+    found = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def lettered(text: str) -> bool:
@@ -174,7 +185,7 @@ def counted(text: str) -> tuple[bytes, bytes]:
     """A text's buckets and their shares of its runs, as bytes."""
     h = np.concatenate(features(np.frombuffer(text.encode(), np.uint8)))
     at, n = np.unique(h, return_counts=True)
-    return at.astype("<u4").tobytes(), (n / max(1, len(h))).astype("<f4").tobytes()
+    return at.astype("<u2").tobytes(), (n / max(1, len(h))).astype("<f4").tobytes()
 
 
 def shuffled(text: str, seed: int) -> str:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import flat, forget, measured_sides, mix, slices, span_hash, stored
+from spindrift.llm.common import flat, forget, merge_joins, mix, slices, span_hash, stored
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 12
 LINK_OF_100 = 75
@@ -288,7 +288,7 @@ def components(documents: DataFrame) -> DataFrame:
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "nodes")
     # An id with several texts is a node under each of its sets, which are linked by the id.
-    with measured_sides(documents.sparkSession):
+    with merge_joins(documents.sparkSession):
         known = links(documents.select(F.col("doc_id").alias("id"), "text"), nodes.select("id", "n", "sig"))
     of_set = nodes.select("digest", "id")
     if known is not None:

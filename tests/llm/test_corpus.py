@@ -4,6 +4,7 @@ import collections
 import dataclasses
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -584,6 +585,16 @@ def test_languages(spark, rows):
     assert {(r["lang_pred"], r["score"]) for r in language_id.digests(unlabelled).collect()} == {("und", 0.0)}
 
 
+def test_languages_are_learned_in_a_task(spark, monkeypatch):
+    """A sample may be of any size, so it never reaches the driver; its order doesn't depend on partitions."""
+    df = spark.createDataFrame([(i, f"{lang} some words {i * i} of a text", lang) for i in range(60) for lang in ("en", "fr")], "doc_id long, text string, lang string")
+    one, other = language_id.fit(df.coalesce(1)), language_id.fit(df.repartition(5))
+    assert one.languages == ["en", "fr"] and (one.table == other.table).all() and (one.temperature, one.least) == (other.temperature, other.least)
+    monkeypatch.setattr(language_id, "train", lambda found, **options: language_id.Model([], np.zeros((1, 1)), np.zeros(1), len(found), os.getpid()))
+    model = language_id.fit(df)
+    assert model.temperature > 120 and model.least != os.getpid()
+
+
 def executed(spark, after: int = -1) -> dict[int, str]:
     """Physical plans by execution, of those after one."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
@@ -609,6 +620,21 @@ def test_sides_are_broadcast_by_measured_sizes_only(spark, docs):
     assert spark.conf.get(runtime, None) is None
 
 
+def test_near_duplicates_broadcast_nothing(spark, docs):
+    """A side that is small as shuffled isn't built in the driver either; the session's settings stay."""
+    static, runtime = (f"spark.sql.{x}autoBroadcastJoinThreshold" for x in ("", "adaptive."))
+    before, had = max(executed(spark), default=-1), spark.conf.get(static)
+    spark.conf.set(runtime, "1g")
+    try:
+        found = near_dedup.components(docs)
+        assert (spark.conf.get(static), spark.conf.get(runtime)) == (had, "1g")
+    finally:
+        spark.conf.unset(runtime)
+    plans = executed(spark, before)
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans.values())
+    assert found.count() == docs.count()
+
+
 def test_links_that_differ_from_run_to_run(spark):
     """A block may name any links that join its components; all of one run count, both ways."""
 
